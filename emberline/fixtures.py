@@ -111,6 +111,57 @@ from events where event_type in ('click','purchase','signup') and (event_type<>'
     "fx_landed": (("events",), """
 select distinct case event_type when 'view' then 'N20' when 'signup' then 'N21' else 'VIIRS' end as source, cast(ts as date) as chunk_date
 from events where event_type in ('view','signup','purchase') and (extract(day from ts)*7+length(event_type))%5<>0"""),
+    # Views below are this project's own, in the same style: inputs the tables above do not cover.
+    "fx_tracker": (("events",), """
+select event_id, value as frp, ((event_id*13)%400)/1e1 as temp_diff_ti4_ti5, cast(event_id%2 as int) as is_night,
+  ((event_id*29)%301)/1e1 as distance_to_plant_km, ((event_id*23)%297)/1e1 as distance_to_flare_km,
+  ((event_id*19)%293)/1e1 as distance_to_coal_mine_km,
+  least(((event_id*29)%301)/1e1, ((event_id*23)%297)/1e1, ((event_id*19)%293)/1e1) as min_distance_to_industrial_km,
+  1 + event_id%7 as spatial_persistence_count,
+  case event_id%4 when 0 then 'gas' when 1 then 'coal' when 2 then 'oil' end as nearest_plant_fuel,
+  concat('P', cast(event_id%50 as string)) as nearest_plant_name, concat('B', cast(event_id%40 as string)) as nearest_flare_field,
+  case when event_id%13=0 then null else ((event_id*37)%101)/1e2 end as prob_industrial,
+  case event_id%3 when 0 then 'high' when 1 then 'nominal' else 'low' end as confidence
+from events"""),
+    "fx_alert_info": (("events",), """
+select user_id as alert_id, case user_id%5 when 0 then 'Gujarat' when 1 then 'Odisha' when 2 then 'Maharashtra' when 3 then 'Assam' else 'Chhattisgarh' end as region,
+  case user_id%4 when 0 then 'critical' when 1 then 'high' when 2 then 'moderate' else 'low' end as severity, max(value) as frp
+from events group by user_id"""),
+    "fx_user": (("nation",), """
+select n_nationkey as user_id, case when n_nationkey%6=0 then 'Central Government' else 'State' end as role,
+  case n_nationkey%5 when 0 then 'Gujarat' when 1 then 'Odisha' when 2 then 'Maharashtra' when 3 then 'Assam' else 'Chhattisgarh' end as region
+from nation"""),
+    "fx_landcover_edge": (("fx_landcover",), """
+select ord, cast(ord as string) as geom_id, 0 as poly, 0 as ring, x0 as x1, y0 as y1, x1 as x2, y0 as y2 from fx_landcover
+union all select ord, cast(ord as string), 0, 0, x1, y0, x1, y1 from fx_landcover
+union all select ord, cast(ord as string), 0, 0, x1, y1, x0, y1 from fx_landcover
+union all select ord, cast(ord as string), 0, 0, x0, y1, x0, y0 from fx_landcover"""),
+    "fx_event_facility": (("fx_detection",), """
+select event_id, id, latitude, longitude, frp, brightness_temperature, ts, satellite,
+  concat('F', cast(site*10 + event_id%12 as string)) as facility_id, concat('near ', cast(site as string)) as nearest_facility_name,
+  'petrochemical' as facility_type, ((event_id*97)%8000)/1e0 as distance_to_facility_m, (event_id*3)%8 as detections_24h,
+  (event_id*3)%8 + (event_id*5)%20 as detections_7d, ((event_id*11)%101)/1e2 as persistence_score
+from fx_detection"""),
+    "fx_plant": (("customer",), """
+select c_custkey as ord, c_name as name, c_mktsegment as fuel, case when c_custkey%7=0 then 'n/a' else cast(c_acctbal as string) end as capacity,
+  case c_custkey%3 when 0 then 'operating' when 1 then 'construction' end as status,
+  case when c_custkey%11=0 then '' else cast((800000 + ((cast(floor(c_custkey/1e1) as bigint)*37)%251)*10000 + ((c_custkey*13)%41-20)*100)/1e5 as string) end as lat,
+  cast((6900000 + ((cast(floor(c_custkey/1e1) as bigint)*53)%257)*10000 + ((c_custkey*17)%43-21)*100)/1e5 as string) as lon
+from customer"""),
+    "fx_mine": (("supplier",), """
+select s_suppkey as ord, concat('M', cast(s_suppkey as string)) as mine_id, s_name as name,
+  case s_suppkey%3 when 0 then 'operating' when 1 then 'proposed' end as status, case s_suppkey%2 when 0 then 'surface' else 'underground' end as mine_type,
+  cast((800000 + ((s_suppkey*37)%251)*10000 + ((s_suppkey*7)%41-20)*100)/1e5 as string) as lat,
+  cast((6900000 + ((s_suppkey*53)%257)*10000 + ((s_suppkey*11)%43-21)*100)/1e5 as string) as lon
+from supplier"""),
+    "fx_ring": (("nation",), """
+select n_nationkey as ord, 69e0+(n_nationkey*7)%25 as x0, 8e0+n_nationkey as y0, 1e0+(n_nationkey%3) as side from nation"""),
+    "fx_props": (("customer",), """
+select c_custkey as ord,
+  case c_custkey%7 when 0 then 'Dense Forest' when 1 then 'Farmland' when 2 then 'built-up' when 3 then 'lake' end as class,
+  case c_custkey%5 when 0 then 'sandstone' when 1 then 'unknown' when 2 then 'industrial' when 3 then '' end as landuse,
+  case c_custkey%4 when 0 then 'grassland' when 1 then 'rock' end as natural_kind
+from customer"""),
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",

@@ -117,24 +117,14 @@ def acquisition_time(columns: list[str]) -> tuple[Column, Column]:
                  F.replace(date_text, F.lit("/"), F.lit("-")).try_cast("date"))
 
     raw_time = F.coalesce(F.trim(_optional(columns, "acq_time")), F.lit("0000"))
-    clock = F.lpad(raw_time, 4, "0")
-    digits = raw_time.rlike(r"^\d{0,4}$")
-    colon = raw_time.rlike(r"^\d+:\d+(:\d+(\.\d*)?)?$")
-
-    def part(pattern: str) -> Column:
-        return F.regexp_extract(raw_time, pattern, 1)
-
-    hour = F.when(colon, part(r"^(\d+):").try_cast("int")).when(digits, F.substring(clock, 1, 2).try_cast("int"))
-    minute = F.when(colon, part(r"^\d+:(\d+)").try_cast("int")).when(digits, F.substring(clock, 3, 2).try_cast("int"))
-    second = F.when(colon, F.coalesce(part(r"^\d+:\d+:(\d+)").try_cast("int"), F.lit(0))).when(digits, F.lit(0))
-    in_range = hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59)
+    clock = (F.when(raw_time.rlike(r"^\d{0,4}$"), F.regexp_replace(F.lpad(raw_time, 4, "0"), r"^(..)(..)$", "$1:$2:00"))
+             .when(raw_time.rlike(r"^\d+:\d+$"), F.concat(raw_time, F.lit(":00")))
+             .when(raw_time.rlike(r"^\d+:\d+:\d+(\.\d*)?$"), F.regexp_replace(raw_time, r"\.\d*$", "")))
+    built = F.try_to_timestamp(F.concat_ws(" ", day.cast("string"), clock), F.lit("yyyy-MM-dd H:m:s"))
     reason = (F.when(date_text.isNull(), F.lit("missing acq_date"))
               .when(day.isNull(), F.concat(F.lit("malformed acq_date: "), _quoted(date_text)))
-              .when(~(digits | colon) | hour.isNull() | minute.isNull(),
-                    F.concat(F.lit("malformed acq_time: "), _quoted(raw_time)))
-              .when(~in_range, F.concat(F.lit("acq_time out of range: "), _quoted(raw_time))))
-    seconds = (F.unix_date(day).cast("long") * 86400 + hour * 3600 + minute * 60 + second)
-    built = F.when(reason.isNull(), F.timestamp_seconds(seconds))
+              .when(clock.isNull(), F.concat(F.lit("malformed acq_time: "), _quoted(raw_time)))
+              .when(built.isNull(), F.concat(F.lit("acq_time out of range: "), _quoted(raw_time))))
     return F.coalesce(iso, built), F.when(iso.isNull(), reason)
 
 

@@ -50,7 +50,11 @@ def _chain(pairs: list[tuple[Column, Column | str]]) -> Column:
 
 
 def _exact_then_contains(value: Column, words: dict[str, str]) -> Column:
-    return _chain([(value == k, v) for k, v in words.items()] + [(value.contains(k), v) for k, v in words.items()])
+    """Lookup of the whole value, else of the first listed word it contains."""
+    table = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    listed = F.array(*[F.lit(w) for w in words])
+    inside = F.get(F.filter(listed, lambda w: F.contains(value, w)), F.lit(0))
+    return F.coalesce(F.try_element_at(table, value), F.try_element_at(table, inside))
 
 
 def facility_type(tags: Column) -> Column:
@@ -104,11 +108,11 @@ def is_relevant(tags: Column) -> Column:
 
 def landcover_class(props: Column) -> Column:
     """Canonical class from a property map; keys are tried in order, unknown without any key."""
-    resolved, any_key = None, F.lit(False)
-    for key in LANDCOVER_KEYS:
-        value = _present(F.try_element_at(props, F.lit(key)))
-        word = F.lower(F.trim(value))
-        found = F.coalesce(_exact_then_contains(word, LANDCOVER_WORDS), F.when(word.isin(LANDCOVER_CLASSES), word))
-        resolved = found if resolved is None else F.coalesce(resolved, found)
-        any_key = any_key | value.isNotNull()
-    return F.when(~any_key, "unknown").otherwise(F.coalesce(resolved, F.lit("other")))
+    keys = F.array(*[F.lit(k) for k in LANDCOVER_KEYS])
+    values = F.array_compact(F.transform(keys, lambda k: F.lower(F.trim(_present(F.try_element_at(props, k))))))
+
+    def resolve(word: Column) -> Column:
+        return F.coalesce(_exact_then_contains(word, LANDCOVER_WORDS), F.when(word.isin(LANDCOVER_CLASSES), word))
+
+    found = F.get(F.filter(F.transform(values, resolve), lambda c: c.isNotNull()), F.lit(0))
+    return F.when(F.size(values) == 0, "unknown").otherwise(F.coalesce(found, F.lit("other")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.cleaning import (acquisition_time, alias_columns, brightness, confidence_percent,
                                           detection_id, number, require_groups, satellite_name)
+from emberline.session import cut
 
 ORDER = ["_file", "_row"]
 EVENT_COLUMNS = ["id", "latitude", "longitude", "frp", "brightness_temperature", "confidence", "timestamp", "satellite"]
@@ -35,13 +36,17 @@ def validated(raw: DataFrame) -> DataFrame:
     frp, frp_err = number(field("frp"), "frp")
     bt, bt_source = brightness(cols)
     conf, conf_err = confidence_percent(field("confidence"))
+    # The one-element generator evaluates every parse once: a filter on the reason below
+    # would otherwise inline all parsing expressions into its predicate again.
     typed = df.select(
-        *ORDER, lat.alias("latitude"), lon.alias("longitude"), ts.alias("ts"), frp.alias("frp"),
-        bt.alias("brightness_temperature"), conf.alias("confidence"), satellite_name(cols).alias("satellite"),
-        bt_source.alias("bt_source"), *[field(c).alias(c) for c in ("daynight", "scan", "track", "version", "instrument")],
+        *ORDER, *[field(c).alias(c) for c in ("daynight", "scan", "track", "version", "instrument")],
         F.map_filter(F.create_map(*[x for c in cols if c not in ORDER for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]),
                      lambda _, v: v.isNotNull()).alias("raw"),
-        lat_err.alias("_lat"), lon_err.alias("_lon"), ts_err.alias("_ts"), frp_err.alias("_frp"), conf_err.alias("_conf"))
+        F.inline(F.array(F.struct(
+            lat.alias("latitude"), lon.alias("longitude"), ts.alias("ts"), frp.alias("frp"),
+            bt.alias("brightness_temperature"), conf.alias("confidence"), satellite_name(cols).alias("satellite"),
+            bt_source.alias("bt_source"), lat_err.alias("_lat"), lon_err.alias("_lon"), ts_err.alias("_ts"),
+            frp_err.alias("_frp"), conf_err.alias("_conf")))))
 
     def text(c: str):
         return F.col(c).cast("string")
@@ -104,37 +109,38 @@ def dedup_facilities(df: DataFrame, key: str = "facility_id", order: str = "ord"
 def quality_report(raw: DataFrame) -> DataFrame:
     """Counts and ranges of one cleaning run in long form (metric, key, value as text)."""
     checked = validated(raw)
-    ok = F.col("reason").isNull()
-    unique = dedup(checked.filter(ok).drop("raw"))
-    totals = checked.agg(
-        F.count(F.lit(1)).alias("input_rows"), F.count_if(ok).alias("_valid"), F.count_if(~ok).alias("invalid_rows"),
-        *[F.count_if(F.col("missing_flag") == f).alias(f) for f in ("missing_frp", "missing_confidence", "missing_bt")])
-    kept = unique.agg(
-        F.count(F.lit(1)).alias("valid_rows"), F.countDistinct("satellite").alias("unique_satellites"),
-        F.min("ts").alias("_t0"), F.max("ts").alias("_t1"), F.min("latitude").alias("lat_min"),
-        F.max("latitude").alias("lat_max"), F.min("longitude").alias("lon_min"), F.max("longitude").alias("lon_max"))
-    iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-    kept = kept.withColumn("date_min", F.date_format("_t0", iso)).withColumn("date_max", F.date_format("_t1", iso))
+    # Two passes over the input; everything after them reads these two small tables.
+    outcome = cut(checked.groupBy(F.substring(F.trim(F.split("reason", ":")[0]), 1, 60).alias("key"), "missing_flag")
+                  .agg(F.count(F.lit(1)).alias("n")))
+    kept = cut(dedup(checked.filter("reason is null").drop("raw")).groupBy("satellite").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.min("latitude").alias("s"),
+        F.max("latitude").alias("n_"), F.min("longitude").alias("w"), F.max("longitude").alias("e")))
+    zero = F.lit(0).cast("long")
+
+    def count(condition):
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), zero)
 
-    def flat(df: DataFrame, metrics: list[str]) -> DataFrame:
+    iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    unique = kept.agg(F.coalesce(F.sum("n"), zero).alias("n")).scalar()
+    bad = F.col("key").isNotNull()
+    totals = outcome.agg(
+        count(F.lit(True)).alias("input_rows"), count(bad).alias("invalid_rows"),
+        *[count(F.col("missing_flag") == f).alias(f) for f in ("missing_frp", "missing_confidence", "missing_bt")],
+        count(~bad).alias("_ok")).withColumn("duplicates_removed", F.col("_ok") - unique)
+    spans = kept.agg(
+        F.coalesce(F.sum("n"), zero).alias("valid_rows"), F.count(F.lit(1)).alias("unique_satellites"),
+        F.date_format(F.min("t0"), iso).alias("date_min"), F.date_format(F.max("t1"), iso).alias("date_max"),
+        F.min("s").alias("lat_min"), F.max("n_").alias("lat_max"), F.min("w").alias("lon_min"), F.max("e").alias("lon_max"))
+
+    def flat(df: DataFrame) -> DataFrame:
         return df.select(F.explode(F.array(*[
             F.struct(F.lit(m).alias("metric"), F.lit("").alias("key"), F.col(m).cast("string").alias("value"))
-            for m in metrics])).alias("r")).select("r.*")
-
-    removed = totals.select((F.col("_valid") - kept.select("valid_rows").scalar()).alias("duplicates_removed"))
-    satellites = unique.groupBy(F.col("satellite").alias("key")).agg(F.count(F.lit(1)).cast("string").alias("value"))
-    reasons = (checked.filter(~ok).groupBy(F.substring(F.trim(F.split("reason", ":")[0]), 1, 60).alias("key"))
-               .agg(F.count(F.lit(1)).cast("string").alias("value")))
-    parts = [flat(totals, ["input_rows", "invalid_rows", "missing_frp", "missing_confidence", "missing_bt"]),
-             flat(kept, ["valid_rows", "unique_satellites", "date_min", "date_max", "lat_min", "lat_max", "lon_min",
-                         "lon_max"]),
-             flat(removed, ["duplicates_removed"]),
-             satellites.select(F.lit("satellite").alias("metric"), "key", "value"),
-             reasons.select(F.lit("invalid_reason").alias("metric"), "key", "value")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            for m in df.columns])).alias("r")).select("r.*")
+
+    satellites = kept.select(F.lit("satellite").alias("metric"), F.col("satellite").alias("key"), F.col("n").cast("string").alias("value"))
+    reasons = outcome.filter(bad).groupBy("key").agg(F.sum("n").cast("string").alias("value")).select(
+        F.lit("invalid_reason").alias("metric"), "key", "value")
+    return flat(totals.drop("_ok")).unionByName(flat(spans)).unionByName(satellites).unionByName(reasons)
 
 
 def bbox_filter(df: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:
