@@ -47,12 +47,15 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def daily_stats(events: DataFrame) -> DataFrame:
-    """FRP per day: count, mean, median, max, min, std, rounded to 2 decimals."""
+    """FRP per day: count, mean, median, max, min, std; 2 decimals, half to even."""
+    def two(c) -> Column:
+        return F.rint(c * 100) / 100
+
     dated = events.select(F.to_date("ts").alias("date"), "frp")
     base = dated.groupBy("date").agg(
-        _n("count"), F.round(F.avg("frp"), 2).alias("mean"), F.round(F.max("frp"), 2).alias("max"),
-        F.round(F.min("frp"), 2).alias("min"), F.round(F.stddev_samp("frp"), 2).alias("std"))
-    median = exact_quantiles(dated, ["frp"], [0.5], ["date"]).select("date", F.round("value", 2).alias("median"))
+        _n("count"), two(F.avg("frp")).alias("mean"), two(F.max("frp")).alias("max"), two(F.min("frp")).alias("min"),
+        two(F.stddev_samp("frp")).alias("std"))
+    median = exact_quantiles(dated, ["frp"], [0.5], ["date"]).select("date", two(F.col("value")).alias("median"))
     return base.join(median, "date")
 
 

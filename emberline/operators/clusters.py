@@ -44,26 +44,27 @@ def _box_pairs(boxes: DataFrame, id_col: str, reach_m: float, eps_m: float) -> D
 
 def node_links(members: DataFrame, nodes: DataFrame, eps_m: float) -> DataFrame:
     """Distinct linked vertex pairs (a < b); ``members`` holds (node, latitude, longitude)."""
-    pairs = _box_pairs(nodes, "node", 2.2 * eps_m, eps_m)
-    sure = pairs.filter(F.col("_hi") <= eps_m).select("a", "b")
-    open_pairs = pairs.filter(F.col("_hi") > eps_m).select("a", "b")
+    pairs = cut(_box_pairs(nodes, "node", 2.2 * eps_m, eps_m).select("a", "b", (F.col("_hi") <= eps_m).alias("sure")))
+    sure, undecided = pairs.filter("sure").select("a", "b"), pairs.filter("not sure").select("a", "b")
 
     # Undecided: compare the extents of sub-cells (a bounded number per vertex).
     fine = with_cell(members, LAT, LON, arc_degrees(eps_m / 1.5) / _FINE, "fy", "fx")
     subs = _boxes(fine, ["node", "fy", "fx"], LAT, LON, "")
+    low, high = box_distance_bounds()
 
     def side(name: str) -> DataFrame:
         return subs.select(F.col("node").alias(name), F.col("fy").alias(f"{name}_fy"), F.col("fx").alias(f"{name}_fx"),
                            *[F.col(k).alias(f"{name}_{k}") for k in "snwe"])
 
-    low, high = box_distance_bounds()
-    tested = (open_pairs.join(side("a"), "a").join(side("b"), "b").withColumn("_lo", low)
-              .filter(F.col("_lo") <= eps_m).withColumn("_hi", high))
-    by_extent = tested.filter(F.col("_hi") <= eps_m).select("a", "b").distinct()
+    def tested(which: DataFrame) -> DataFrame:
+        return (which.join(side("a"), "a").join(side("b"), "b").withColumn("_lo", low)
+                .filter(F.col("_lo") <= eps_m).withColumn("_hi", high))
+
+    near = cut(tested(undecided).groupBy("a", "b").agg(F.min("_hi").alias("_hi")))
+    by_extent = near.filter(F.col("_hi") <= eps_m).select("a", "b")
 
     # Still undecided: the points of sub-cells that straddle the limit.
-    rim = (tested.filter(F.col("_hi") > eps_m).select("a", "b", "a_fy", "a_fx", "b_fy", "b_fx")
-           .join(by_extent, ["a", "b"], "left_anti"))
+    rim = tested(near.filter(F.col("_hi") > eps_m).select("a", "b")).select("a", "b", "a_fy", "a_fx", "b_fy", "b_fx")
 
     def points(name: str) -> DataFrame:
         return fine.select(F.col("node").alias(name), F.col("fy").alias(f"{name}_fy"), F.col("fx").alias(f"{name}_fx"),
@@ -81,8 +82,8 @@ def components(links: DataFrame) -> DataFrame:
     reliable checkpoint; the number of rounds follows the logarithm of the
     largest component's diameter.
     """
-    both = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-               .unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+    both = cut(links.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
+                                             F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))))
     labels = cut(both.groupBy("u").agg(F.min("v").alias("_m"))
                  .select(F.col("u").alias("node"), F.least("u", "_m").alias("label")))
     while True:
@@ -101,7 +102,7 @@ def components(links: DataFrame) -> DataFrame:
 def assign_clusters(events: DataFrame, eps_m: float, id_col: str = "event_id") -> DataFrame:
     """Add ``cluster_id``: the smallest id of the detections linked to the row through steps of at most eps."""
     located = _with_node(events, eps_m)
-    spots = located.groupBy(*NODE, LAT, LON).agg(F.min(id_col).alias("_id"))
+    spots = cut(located.groupBy(*NODE, LAT, LON).agg(F.min(id_col).alias("_id")))
     boxes = (spots.groupBy(*NODE).agg(F.min("_id").alias("node"), F.min(LAT).alias("s"), F.max(LAT).alias("n"),
                                       F.min(LON).alias("w"), F.max(LON).alias("e")))
     boxes = cut(boxes)

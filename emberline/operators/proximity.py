@@ -128,11 +128,12 @@ def _level_for(reach_deg: Column) -> Column:
     return F.least(F.greatest(level, F.lit(0)), F.lit(_LEVELS - 1)).cast("int")
 
 
-def candidates(points: DataFrame, items: DataFrame, group: list[str]) -> DataFrame:
+def candidates(points: DataFrame, items: DataFrame, group: list[str], extended: bool = True) -> DataFrame:
     """For every point and group, a set of items sure to hold the nearest one.
 
     ``items``: lat, lon (centre), ``reach_m`` (how far the item extends from its
-    centre, 0 for points), the group columns and payload.  Work is done per
+    centre, 0 for points), the group columns and payload; ``extended=False``
+    promises that all reaches are 0.  Work is done per
     occupied fine cell of the points, not per point:
 
     1. an upper bound ``bound_m`` on the distance from the cell centre, from one
@@ -171,7 +172,9 @@ def candidates(points: DataFrame, items: DataFrame, group: list[str]) -> DataFra
     # Items are classed by extent so that a few long ones do not widen every search.
     extent = F.degrees(F.col("reach_m") / EARTH_RADIUS_M)
     size_class = F.when(F.col("reach_m") == 0, F.lit(-1)).otherwise(_level_for(extent))
-    present = sorted(r[0] for r in items.select(size_class.alias("k")).distinct().collect())  # at most 15 numbers
+    present = [-1]
+    if extended:
+        present = sorted(r[0] for r in items.select(size_class.alias("k")).distinct().collect())  # at most 15 numbers
     class_step = F.when(F.col("size_class") < 0, F.lit(0.0)).otherwise(_step_of(F.col("size_class")))
     search = (bound.withColumn("size_class", F.explode(F.array(*[F.lit(k) for k in present or [-1]])))
               .withColumn("_reach", F.degrees((F.col("bound_m") + 2 * F.col("half_m")) / EARTH_RADIUS_M) * 1.000001
@@ -200,7 +203,7 @@ def nearest_points(events: DataFrame, items: DataFrame, payload: list[str], grou
         "lat", "lon", *group).agg(F.min_by(F.struct("ord", *payload), "ord").alias("_item"))
     first = first.select("lat", "lon", *group, F.col("_item.ord").alias("ord"),
                          *[F.col(f"_item.{p}").alias(p) for p in payload], F.lit(0.0).alias("reach_m"))
-    pairs = candidates(locations(events), first, group)
+    pairs = candidates(locations(events), first, group, extended=False)
     pairs = pairs.withColumn("distance_m", haversine(LAT, LON, "lat", "lon", radius))
     return pairs.groupBy("fy", "fx", LAT, LON, *group).agg(
         F.min_by(F.struct("distance_m", "ord", *payload), F.struct("distance_m", "ord")).alias("best")
