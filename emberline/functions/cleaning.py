@@ -73,9 +73,11 @@ def _quoted(c: Column) -> Column:
 def number(c: Column, field: str) -> tuple[Column, Column]:
     """(value, reason): reason is NULL when the value is usable."""
     text, value = blank_to_null(c), to_double(c)
-    reason = (F.when(text.isNull(), F.lit(f"missing {field}"))
+    # The usable case comes first: it shares the parse with the value column.
+    reason = (F.when(value.isNotNull() & ~F.isnan(value), F.lit(None).cast("string"))
+              .when(text.isNull(), F.lit(f"missing {field}"))
               .when(value.isNull(), F.concat(F.lit(f"malformed {field}: "), _quoted(c)))
-              .when(F.isnan(value), F.lit(f"NaN {field}")))
+              .otherwise(F.lit(f"NaN {field}")))
     return value, reason
 
 
@@ -121,11 +123,13 @@ def acquisition_time(columns: list[str]) -> tuple[Column, Column]:
              .when(raw_time.rlike(r"^\d+:\d+$"), F.concat(raw_time, F.lit(":00")))
              .when(raw_time.rlike(r"^\d+:\d+:\d+(\.\d*)?$"), F.regexp_replace(raw_time, r"\.\d*$", "")))
     built = F.try_to_timestamp(F.concat_ws(" ", day.cast("string"), clock), F.lit("yyyy-MM-dd H:m:s"))
-    reason = (F.when(date_text.isNull(), F.lit("missing acq_date"))
+    ts = F.coalesce(iso, built)
+    reason = (F.when(ts.isNotNull(), F.lit(None).cast("string"))
+              .when(date_text.isNull(), F.lit("missing acq_date"))
               .when(day.isNull(), F.concat(F.lit("malformed acq_date: "), _quoted(date_text)))
               .when(clock.isNull(), F.concat(F.lit("malformed acq_time: "), _quoted(raw_time)))
-              .when(built.isNull(), F.concat(F.lit("acq_time out of range: "), _quoted(raw_time))))
-    return F.coalesce(iso, built), F.when(iso.isNull(), reason)
+              .otherwise(F.concat(F.lit("acq_time out of range: "), _quoted(raw_time))))
+    return ts, reason
 
 
 def brightness(columns: list[str]) -> tuple[Column, Column]:

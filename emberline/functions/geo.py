@@ -40,6 +40,23 @@ def arc_degrees(metres: float, radius: float = EARTH_RADIUS_M) -> float:
     return math.degrees(metres / radius) * _SLACK
 
 
+def unit_vector(lat, lon) -> tuple[Column, Column, Column]:
+    """Position on the unit sphere: three trigonometric products per point instead of six per pair."""
+    lat, lon = F.radians(_c(lat)), F.radians(_c(lon))
+    return F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)
+
+
+def chord_squared(a: tuple, b: tuple) -> Column:
+    dx, dy, dz = (_c(p) - _c(q) for p, q in zip(a, b))
+    return dx * dx + dy * dy + dz * dz
+
+
+def is_within(radius_m: float, chord2: Column, exact: Column) -> Column:
+    """distance <= radius from the squared unit chord; ``exact`` decides only within a part per million of the limit."""
+    limit = (2 * math.sin(radius_m / EARTH_RADIUS_M / 2)) ** 2
+    return F.when(chord2 < limit * (1 - 1e-6), True).when(chord2 > limit * (1 + 1e-6), False).otherwise(exact <= radius_m)
+
+
 def edge_crossing(lat, lon, x1, y1, x2, y2) -> Column:
     """Whether an eastward ray from the point crosses the edge (x = lon, y = lat).
 

@@ -36,17 +36,18 @@ def validated(raw: DataFrame) -> DataFrame:
     frp, frp_err = number(field("frp"), "frp")
     bt, bt_source = brightness(cols)
     conf, conf_err = confidence_percent(field("confidence"))
-    # The one-element generator evaluates every parse once: a filter on the reason below
-    # would otherwise inline all parsing expressions into its predicate again.
+    parsed = {"latitude": lat, "longitude": lon, "ts": ts, "frp": frp, "brightness_temperature": bt, "confidence": conf,
+              "satellite": satellite_name(cols), "bt_source": bt_source, "_lat": lat_err, "_lon": lon_err, "_ts": ts_err,
+              "_frp": frp_err, "_conf": conf_err}
+    kept = ["daynight", "scan", "track", "version", "instrument"]
     typed = df.select(
-        *ORDER, *[field(c).alias(c) for c in ("daynight", "scan", "track", "version", "instrument")],
+        *ORDER, *[field(c).alias(c) for c in kept],
         F.map_filter(F.create_map(*[x for c in cols if c not in ORDER for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]),
                      lambda _, v: v.isNotNull()).alias("raw"),
-        F.inline(F.array(F.struct(
-            lat.alias("latitude"), lon.alias("longitude"), ts.alias("ts"), frp.alias("frp"),
-            bt.alias("brightness_temperature"), conf.alias("confidence"), satellite_name(cols).alias("satellite"),
-            bt_source.alias("bt_source"), lat_err.alias("_lat"), lon_err.alias("_lon"), ts_err.alias("_ts"),
-            frp_err.alias("_frp"), conf_err.alias("_conf")))))
+        *[c.alias(f"_p_{n}") for n, c in parsed.items()])
+    # A one-element generator between parsing and checking: without it the optimizer would push a
+    # filter on the reason below the projection and inline every parse into the predicate again.
+    typed = typed.select(*ORDER, *kept, "raw", F.inline(F.array(F.struct(*[F.col(f"_p_{n}").alias(n) for n in parsed]))))
 
     def text(c: str):
         return F.col(c).cast("string")

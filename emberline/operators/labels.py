@@ -75,8 +75,8 @@ def weak_label(df: DataFrame, rules: list[tuple[str, str, str]] = RULES_V1, vers
         score = F.col(f"_s{i}")
         qualified[f"_q{i}"] = F.when(((count >= 3) & (score >= 0.5)) | ((count >= 4) & (score >= 0.4)), score)
     work = work.withColumns(hits).withColumns(scores).withColumns(qualified)
-    best = F.greatest(*qualified.keys())
-    top = F.greatest(*scores.keys())
+    best = F.greatest(F.lit(None).cast("double"), *qualified.keys())
+    top = F.greatest(F.lit(0.0), *scores.keys())
     label = reasons = F
     for i, cls in enumerate(classes):
         wins = F.col(f"_q{i}") == best

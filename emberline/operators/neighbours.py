@@ -16,7 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.geo import EARTH_RADIUS_M, arc_degrees, haversine, with_cell, with_cells_in_reach
+from emberline.functions.geo import (EARTH_RADIUS_M, arc_degrees, chord_squared, haversine, is_within, unit_vector,
+                                     with_cell, with_cells_in_reach)
 from emberline.operators.proximity import LAT, LON
 from emberline.operators.timeline import DAY_US, Span, around, past, span_counts
 
@@ -48,19 +49,30 @@ def _in_time(count: NearCount, symmetric: bool) -> Column:
     return (gap > 0) if count.days is None else (gap > 0) & (gap <= int(count.days * DAY_US))
 
 
+def _any_time(counts: list[NearCount], symmetric: bool) -> Column:
+    """The widest time condition of all counts."""
+    widest = next((c for c in counts if c.days is None), max(counts, key=lambda c: c.days or 0))
+    return _in_time(widest, symmetric)
+
+
 def _pair_counts(pairs: DataFrame, counts: list[NearCount], symmetric: bool, keys: list[str],
                  only: dict[str, Column] | None = None) -> DataFrame:
-    near = pairs.withColumn("distance_m", haversine(LAT, LON, "h_lat", "h_lon"))
-    near = near.filter(F.col("distance_m") <= max(c.radius_m for c in counts))
+    exact = haversine(LAT, LON, "h_lat", "h_lon")
+    near = pairs.withColumn("_c2", chord_squared(("ux", "uy", "uz"), ("h_ux", "h_uy", "h_uz")))
+    near = near.filter(is_within(max(c.radius_m for c in counts), F.col("_c2"), exact))
     aggs = []
     for c in counts:
-        hit = (F.col("distance_m") <= c.radius_m) & _in_time(c, symmetric)
+        hit = is_within(c.radius_m, F.col("_c2"), exact) & _in_time(c, symmetric)
         if only:
             hit = hit & only[c.name]
         aggs.append(F.sum(F.when(hit, F.col("h_n"))).alias(c.name))
     return near.groupBy(*keys).agg(*aggs)
 
 
+def _with_vector(df: DataFrame, lat: str, lon: str, prefix: str) -> DataFrame:
+    return df.withColumns(dict(zip((f"{prefix}ux", f"{prefix}uy", f"{prefix}uz"), unit_vector(lat, lon))))
+
+
 def near_counts(events: DataFrame, history: DataFrame, counts: list[NearCount], symmetric: bool = False,
                 lat: str = LAT, lon: str = LON, ts: str = "ts", dense_pairs: int = DENSE_PAIRS) -> DataFrame:
     """Add one column per count to ``events``: history detections near each event.
@@ -73,10 +85,11 @@ def near_counts(events: DataFrame, history: DataFrame, counts: list[NearCount],
     """
     radius = max(c.radius_m for c in counts)
     step = arc_degrees(radius)
-    left = with_cell(_points(events, lat, lon, ts), LAT, LON, step)
+    left = _with_vector(with_cell(_points(events, lat, lon, ts), LAT, LON, step), LAT, LON, "")
     right = _points(history, LAT, LON, "ts").select(
         F.col(LAT).alias("h_lat"), F.col(LON).alias("h_lon"), F.col("at").alias("h_at"), F.col("n").alias("h_n"))
-    right = with_cells_in_reach(right, "h_lat", "h_lon", step, step)
+    own_cells = with_cell(right, "h_lat", "h_lon", step)
+    right = with_cells_in_reach(_with_vector(right, "h_lat", "h_lon", "h_"), "h_lat", "h_lon", step, step)
 
     finite = all(c.days is not None for c in counts)
     cell = ["cy", "cx"]
@@ -86,21 +99,27 @@ def near_counts(events: DataFrame, history: DataFrame, counts: list[NearCount],
         bucket = F.floor(F.col("h_at") / F.lit(width)).cast("long")
         left = left.withColumn("tb", F.floor(F.col("at") / F.lit(width)).cast("long"))
         reach = F.sequence(bucket - (1 if symmetric else 0), bucket + 1)
+        own_cells = own_cells.withColumn("tb", bucket)
         right = right.withColumn("tb", F.explode(reach))
         cell = [*cell, "tb"]
 
-    load = (left.groupBy(*cell).agg(F.count(F.lit(1)).alias("_l"))
-            .join(right.groupBy(*cell).agg(F.count(F.lit(1)).alias("_r")), cell)
-            .filter(F.col("_l").cast("double") * F.col("_r") > dense_pairs).select(*cell))
+    busy_cells = None
+    # Cheap bound first: no history cell reaches more than 12 cells and 3 time buckets.
+    if _largest(left, cell) * _largest(own_cells, cell) * (36 if finite else 12) > dense_pairs:
+        busy_cells = (left.groupBy(*cell).agg(F.count(F.lit(1)).alias("_l"))
+                      .join(right.groupBy(*cell).agg(F.count(F.lit(1)).alias("_r")), cell)
+                      .filter(F.col("_l").cast("double") * F.col("_r") > dense_pairs).select(*cell))
+        busy_cells = None if busy_cells.isEmpty() else busy_cells
     point = [LAT, LON, "at"]
-    if load.isEmpty():
-        found = _pair_counts(left.join(right, cell).filter(F.abs(F.col(LAT) - F.col("h_lat")) <= step),
+    possible = _any_time(counts, symmetric) & (F.abs(F.col(LAT) - F.col("h_lat")) <= step)
+    if busy_cells is None:
+        found = _pair_counts(left.join(right, cell).filter(possible),
                              counts, symmetric, [*cell, *point])
     else:
-        calm_l, calm_r = left.join(load, cell, "left_anti"), right.join(load, cell, "left_anti")
-        calm = _pair_counts(calm_l.join(calm_r, cell).filter(F.abs(F.col(LAT) - F.col("h_lat")) <= step),
+        calm_l, calm_r = left.join(busy_cells, cell, "left_anti"), right.join(busy_cells, cell, "left_anti")
+        calm = _pair_counts(calm_l.join(calm_r, cell).filter(possible),
                             counts, symmetric, [*cell, *point])
-        busy = _dense(left.join(load, cell, "left_semi"), right.join(load, cell, "left_semi"),
+        busy = _dense(left.join(busy_cells, cell, "left_semi"), right.join(busy_cells, cell, "left_semi"),
                       cell, counts, symmetric, step / _FINE)
         found = calm.unionByName(busy)
     found = found.drop(*cell)
@@ -116,6 +135,11 @@ def near_counts(events: DataFrame, history: DataFrame, counts: list[NearCount],
         F.greatest(zero, F.coalesce(F.col(f"_{c.name}"), zero) - own).cast("long").alias(c.name) for c in counts])
 
 
+def _largest(df: DataFrame, cell: list[str]) -> int:
+    """Rows of the fullest cell: one small aggregate."""
+    return df.groupBy(*cell).count().agg(F.max("count")).first()[0] or 0
+
+
 def _boxes(df: DataFrame, keys: list[str], lat: str, lon: str, prefix: str) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.min(lat).alias(f"{prefix}s"), F.max(lat).alias(f"{prefix}n"),

@@ -8,12 +8,13 @@ from emberline.functions import timefeat, typing_rules
 from emberline.operators import clean
 from emberline.operators.features import engineer
 from emberline.plans.registry import query
+from emberline.session import spread
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def raw_feed(spark, sf):
-    return view(spark, sf, "fx_raw").withColumnRenamed("row_no", "_row").withColumn("_file", F.lit("feed"))
+    return spread(view(spark, sf, "fx_raw").withColumnRenamed("row_no", "_row").withColumn("_file", F.lit("feed")))
 
 
 # Independent statement of the row checks, shared by several checks below.

@@ -173,8 +173,10 @@ def label_distribution(spark, sf):
     return analytics.label_distribution(training.training_dataset(det(spark, sf)))
 
 
-@query("leakage_overlap", """select distinct column_name as feature from (describe select * from fx_context) where column_name in ('detections_24h','detections_7d','detections_30d','persistence','hotspot_cluster_size','distinct_dates','span_days','frp_high','bt_high')""".replace(
-    "(describe select * from fx_context)", "(select unnest(['detections_24h','detections_7d','detections_30d','hotspot_cluster_size','distinct_dates','span_days','frp','event_id']) as column_name from (select count(*) from fx_context))"), "fx_context")
+LABEL_FEATURES = ("detections_24h", "detections_7d", "detections_30d", "hotspot_cluster_size", "distinct_dates", "span_days")
+
+
+@query("leakage_overlap", " union all ".join(f"select '{c}' as feature from fx_context having count({c}) > 0" for c in LABEL_FEATURES), "fx_context")
 def leakage_overlap(spark, sf):
     from emberline.fixtures import view
     return split.leakage_overlap(training.label_feature_names(spark), training.training_feature_names(view(spark, sf, "fx_context")))

@@ -8,6 +8,7 @@ from emberline.operators.clusters import assign_clusters
 from emberline.operators.labels import evidence_label, weak_label
 from emberline.plans.queries_spatial import det, infra
 from emberline.plans.registry import query
+from emberline.session import cut
 
 CONTEXT = ["frp", "brightness_temperature", "detections_24h", "detections_7d", "detections_30d", "persistence",
            "hotspot_cluster_size", "distinct_dates", "span_days"]
@@ -20,7 +21,7 @@ def labelled(spark, sf):
     place = det(spark, sf).select("event_id", "latitude", "longitude", "ts", "satellite")
     parts = split.spatial_temporal_split(assign_clusters(place, 500.0))
     near = enrich_with_infrastructure(parts, infra(spark, sf))
-    return rows.join(near, "event_id")
+    return cut(rows.join(near, "event_id"))     # training passes over it many times
 
 
 @query("train_multiclass")

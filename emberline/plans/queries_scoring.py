@@ -9,10 +9,11 @@ from emberline.operators.features import engineer
 from emberline.plans import scoring
 from emberline.plans.queries_clusters import rules_sql
 from emberline.plans.registry import query
+from emberline.session import spread
 
 
 def context(spark, sf):
-    return view(spark, sf, "fx_context")
+    return spread(view(spark, sf, "fx_context"))
 
 
 def tracker(spark, sf):

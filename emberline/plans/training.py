@@ -44,4 +44,7 @@ def label_feature_names(spark) -> DataFrame:
 
 
 def training_feature_names(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([(c,) for c in df.columns], "feature string")
+    """Names of the columns that hold any value in the data."""
+    seen = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    return seen.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n")) for c in df.columns])).alias("_r")
+                       ).filter("_r.n > 0").select("_r.feature")

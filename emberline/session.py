@@ -18,7 +18,11 @@ def build_session(app: str = "emberline", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Cell joins feed an aggregate on the same key; splitting a hot cell is worth the extra exchange.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # HotSpot does not compile methods above 8000 bytecodes; past that, smaller generated projections are faster.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
@@ -50,3 +54,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so that lost executors cost one stage only."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy per-row work all cores when the input is one small file; larger inputs are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

@@ -1,4 +1,8 @@
-"""Alert lifecycle as keyed state: one small record per alert."""
+"""Alert lifecycle as keyed state: one small record per alert.
+
+The actions of one alert are ordered within a micro-batch only, so the source's
+admission limit (for files ``maxFilesPerTrigger``) bounds what a task holds.
+"""
 
 from __future__ import annotations
 

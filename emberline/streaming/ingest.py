@@ -64,6 +64,11 @@ def persistence_stream(events: DataFrame, history: str, out: str, checkpoint: st
         known = spark.read.parquet(history)
         if "batch" in known.columns:
             known = known.filter(F.col("batch") < batch_id)
+        # Only the last 30 days before the batch can count; the filter reaches the Parquet statistics.
+        oldest = batch.agg(F.min("ts").alias("t")).first()["t"]
+        if oldest is None:
+            return
+        known = known.filter(F.col("ts") >= F.lit(oldest) - F.expr("interval 30 days"))
         seen = known.select("id", "latitude", "longitude", "ts").unionByName(batch.select("id", "latitude", "longitude", "ts"))
         persistence(batch, seen).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         batch.select("id", "latitude", "longitude", "ts").write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
