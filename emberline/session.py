@@ -21,8 +21,6 @@ def build_session(app: str = "emberline", master: str | None = None, **conf: str
         # Cell joins feed an aggregate on the same key; splitting a hot cell is worth the extra exchange.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-        # HotSpot does not compile methods above 8000 bytecodes; past that, smaller generated projections are faster.
-        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }

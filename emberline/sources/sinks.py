@@ -47,7 +47,7 @@ def write_facilities(df: DataFrame, path: str, fmt: str = "geojson") -> None:
     flat = df.drop("geom")
     if "tags" in flat.columns:
         flat = flat.withColumn("tags", F.to_json("tags"))
-    flat.write.mode("overwrite").option("header", "true").csv(path)
+    flat.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
