@@ -20,6 +20,7 @@ from emberline.functions.geo import (EARTH_RADIUS_M, arc_degrees, chord_squared,
                                      with_cell, with_cells_in_reach)
 from emberline.operators.proximity import LAT, LON
 from emberline.operators.timeline import DAY_US, Span, around, past, span_counts
+from emberline.session import cut
 
 # Point pairs a single grid cell may produce before the dense way takes over.
 DENSE_PAIRS = 64_000_000
@@ -106,9 +107,9 @@ def near_counts(events: DataFrame, history: DataFrame, counts: list[NearCount],
     busy_cells = None
     # Cheap bound first: no history cell reaches more than 12 cells and 3 time buckets.
     if _largest(left, cell) * _largest(own_cells, cell) * (36 if finite else 12) > dense_pairs:
-        busy_cells = (left.groupBy(*cell).agg(F.count(F.lit(1)).alias("_l"))
-                      .join(right.groupBy(*cell).agg(F.count(F.lit(1)).alias("_r")), cell)
-                      .filter(F.col("_l").cast("double") * F.col("_r") > dense_pairs).select(*cell))
+        busy_cells = cut(left.groupBy(*cell).agg(F.count(F.lit(1)).alias("_l"))
+                         .join(right.groupBy(*cell).agg(F.count(F.lit(1)).alias("_r")), cell)
+                         .filter(F.col("_l").cast("double") * F.col("_r") > dense_pairs).select(*cell))
         busy_cells = None if busy_cells.isEmpty() else busy_cells
     point = [LAT, LON, "at"]
     possible = _any_time(counts, symmetric) & (F.abs(F.col(LAT) - F.col("h_lat")) <= step)
@@ -119,7 +120,8 @@ def near_counts(events: DataFrame, history: DataFrame, counts: list[NearCount],
         calm_l, calm_r = left.join(busy_cells, cell, "left_anti"), right.join(busy_cells, cell, "left_anti")
         calm = _pair_counts(calm_l.join(calm_r, cell).filter(possible),
                             counts, symmetric, [*cell, *point])
-        busy = _dense(left.join(busy_cells, cell, "left_semi"), right.join(busy_cells, cell, "left_semi"),
+        # The busy rows are read several times: written once, they also survive lost executors.
+        busy = _dense(cut(left.join(busy_cells, cell, "left_semi")), cut(right.join(busy_cells, cell, "left_semi")),
                       cell, counts, symmetric, step / _FINE)
         found = calm.unionByName(busy)
     found = found.drop(*cell)
@@ -189,10 +191,10 @@ def _dense(left: DataFrame, right: DataFrame, cell: list[str], counts: list[Near
     sub = (_boxes(left, a_key, LAT, LON, "a_").join(_boxes(right, b_key, "h_lat", "h_lon", "b_"), cell)
            .withColumn("_lo", low).withColumn("_hi", high)
            .filter(F.col("_lo") <= max(c.radius_m for c in counts)))
-    sub = sub.select(*a_key, "by", "bx",
-                     *[(F.col("_hi") <= c.radius_m).alias(f"in_{c.name}") for c in counts],
-                     *[((F.col("_hi") > c.radius_m) & (F.col("_lo") <= c.radius_m)).alias(f"edge_{c.name}")
-                       for c in counts])
+    sub = cut(sub.select(
+        *a_key, "by", "bx", *[(F.col("_hi") <= c.radius_m).alias(f"in_{c.name}") for c in counts],
+        *[((F.col("_hi") > c.radius_m) & (F.col("_lo") <= c.radius_m)).alias(f"edge_{c.name}")
+          for c in counts]))
 
     def any_of(kind: str) -> Column:
         hit = F.lit(False)

@@ -22,8 +22,12 @@ def con():
 
 @pytest.mark.parametrize("key", sorted(CHECKS))
 def test_query_matches_sql(spark, con, key):
-    verdict = compare(QUERIES[key](spark, SF), con, CHECKS[key])
+    df = QUERIES[key](spark, SF)
+    verdict = compare(df, con, CHECKS[key])
     assert verdict.startswith("ok"), verdict
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert node not in plan
 
 
 def test_entry_runs(spark):
