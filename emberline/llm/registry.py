@@ -15,5 +15,7 @@ def query(key: str, sql: str | None = None):
 
 
 def load_all() -> dict[str, Query]:
-    from emberline.llm import mixture, quality  # noqa: F401
+    import corpus_pipeline
+    from emberline.llm import binary_ids, mixture, neardup, packing, paragraphs, quality  # noqa: F401
+    QUERIES["pipeline"] = Query("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
     return QUERIES
