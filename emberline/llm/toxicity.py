@@ -129,7 +129,7 @@ def learn(rows: DataFrame) -> tuple[np.ndarray, float]:
         return weights, prior
     width = len(buckets)
     vector = F.udf(lambda i, v: SparseVector(width, i, v), VectorUDT())       # the sample only
-    fit = LogisticRegression(regParam=1e-3, maxIter=40, standardization=False, featuresCol="f", labelCol="label").fit(
+    fit = LogisticRegression(regParam=1e-4, maxIter=60, standardization=False, featuresCol="f", labelCol="label").fit(
         data.select(F.col("label").cast("double").alias("label"), vector("ids", "vals").alias("f")))
     weights[buckets] = fit.coefficients.toArray() * ratio
     # The sample's shares of the labels are not the table's.
