@@ -23,12 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import land, pieces, table
+from emberline.llm.common import land, pieces, store_of, table
 from emberline.llm.encode import encoder
 from emberline.llm.registry import query
 from emberline.operators.ordered import running_total
@@ -128,12 +127,6 @@ def parse_file(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     return [None] * nulls + doc_ids, bounds, np.frombuffer(view, f"<u{width}")
 
 
-def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri)
-
-
 def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Write the files in ascending id order; returns their list (task, file, docs, ids, path)."""
     ordered = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -143,7 +136,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_I
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, context = encoder(vocabulary), TaskContext.get()
         end = np.array([end_id], coder.dtype).tobytes()
-        store, root = _store(folder)
+        store, root = store_of(folder)
         store.create_dir(root, recursive=True)
         made, chunks, doc_ids, sizes, held = [], [], [], [], 0
         gc.disable()
@@ -189,7 +182,7 @@ def read_ids(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
-                store, name = _store(path)
+                store, name = store_of(path)
                 with store.open_input_stream(name) as f:
                     doc_ids, bounds, ids = parse_file(f.read())
                 ends = bounds.values().astype(np.int64)

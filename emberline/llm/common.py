@@ -8,6 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
+from pyarrow import parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,3 +98,32 @@ def schema_of(df: DataFrame, *fields: str) -> str:
     """DDL of ``df``'s fields followed by ``fields``."""
     own = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields]
     return ", ".join([*own, *fields])
+
+
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder that executors reach, for use inside tasks."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri)
+
+
+def lay_beside(side: DataFrame, name: str) -> str:
+    """Store ``side`` (_row, ...) by the scan task that reads the row; returns the folder.
+
+    ``_row`` comes from ``monotonically_increasing_id`` on a file scan, which holds
+    the task's number in its upper bits: rows and their text then meet without
+    moving any text.
+    """
+    folder = f"{checkpoint_dir(side.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    by_task = side.withColumn("scan", F.shiftright("_row", 33)).repartition("scan").sortWithinPartitions("scan", "_row")
+    by_task.write.partitionBy("scan").parquet(folder)
+    return folder
+
+
+def beside(folder: str) -> pa.Table | None:
+    """What ``lay_beside`` stored for the running scan task, in order of ``_row``; None if nothing."""
+    store, root = store_of(f"{folder}/scan={TaskContext.get().partitionId()}")
+    if store.get_file_info(root).type == fs.FileType.NotFound:
+        return None
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+    return pa.concat_tables([pq.read_table(f, filesystem=store) for f in files])

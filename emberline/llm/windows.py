@@ -9,11 +9,15 @@ a group still has more than one member.  The digits, taken in passes:
    occur once end here, which is nearly all unique text.
 2. The whole run: runs equal in all their windows are one group; all but the
    earliest are repeated from end to end.
-3. The single windows of the earliest runs, where runs of one gram still differ.
+3. The earliest runs of a gram that still differ are cut into parts of eight
+   windows, keyed by the bytes that all eight share; keys that occur once end here,
+   equal parts are one group.
+4. What still differs is cut into single windows.
 
 Equal groups after the last pass are exactly the repeated windows; the earliest
-start of a group is the one that is not removed.  Runs and windows are compared by
-128-bit hashes.
+start of a group is the one that is not removed.  Two independent 64-bit hashes,
+of the key and of the content, have to agree.  Passes 3 and 4 go back to the text
+where it is scanned, so no text is moved.
 
 Defined cases: null text is empty; texts below ``WINDOW`` bytes have no window;
 documents are in order of id, nulls last, repeated ids in table order; an empty
@@ -30,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import BYTE_KEYS, land, mix, pieces, powers, table, utf8
+from emberline.llm.common import BYTE_KEYS, beside, land, lay_beside, mix, pieces, powers, table, utf8
 from emberline.llm.registry import query
 
 WINDOW, GRAM = 100, 24
+#: Windows of a part in the passes after the first.
+WIDTHS = (8, 1)
 _M = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -117,125 +123,123 @@ def _names(arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def run_rows(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """(gram, _row, run): run packs the first start, the anchor's distance from it and the number of further starts."""
+    """(key, content, _ord, _row, run) of every run of windows with one anchor.
+
+    run packs the first start, the anchor's distance from it and the number of
+    further starts; key is the anchor gram's hash, content that of all bytes covered.
+    """
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text):
                 raw, at = utf8(part.column(text))
                 doc, anchor, first, last, gram = anchored_runs(raw, at, window)
                 run = (first - at[doc]) << 16 | (anchor - first) << 8 | (last - first)
-                yield _names({"gram": gram, "_row": part.column("_row").take(pa.array(doc, pa.int64())), "run": run})
+                yield _rows(part, doc, gram, SpanHashes(raw).of(first, last + window)[0], run)
 
-    return docs.select("_row", text).mapInArrow(measure, "gram bigint, _row bigint, run bigint")
+    return docs.select("_row", "_ord", text).mapInArrow(measure, RUN)
 
 
-def run_contents(docs: DataFrame, runs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """Add the 128-bit hash (c1, c2) of all bytes that the windows of each run cover."""
-    per = runs.groupBy(F.col("_row").alias("_r")).agg(F.collect_list(F.struct("run", "gram")).alias("_runs"))   # runs of one document
-    joined = docs.select("_row", "_place", text).join(per, F.col("_row") == F.col("_r")).select("_row", "_place", text, "_runs")
+RUN = "key bigint, content bigint, _ord bigint, _row bigint, run bigint"
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, text):
-                raw, at = utf8(part.column(text))
-                lists = part.column("_runs")
-                doc = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-                run, gram = (lists.flatten().field(i).to_numpy() for i in (0, 1))
-                start = at[doc] + (run >> 16)
-                c1, c2 = SpanHashes(raw).of(start, start + (run & 255) + window)
-                where = pa.array(doc, pa.int64())
-                yield _names({"gram": gram, "_row": part.column("_row").take(where), "_place": part.column("_place").take(where),
-                              "run": run, "c1": c1, "c2": c2})
 
-    kind = docs.schema["_place"].dataType.simpleString()
-    return joined.mapInArrow(measure, f"gram bigint, _row bigint, _place {kind}, run bigint, c1 bigint, c2 bigint")
+def _rows(part: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, content: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
+    where = pa.array(doc, pa.int64())
+    return _names({"key": key, "content": content, "_ord": part.column("_ord").take(where), "_row": part.column("_row").take(where), "run": run})
 
 
-def single_windows(docs: DataFrame, runs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """One row per window of ``runs``: _row, _place, start and its 128-bit hash (w1, w2)."""
-    per = runs.groupBy(F.col("_row").alias("_r")).agg(F.collect_list("run").alias("_runs"))
-    joined = docs.select("_row", "_place", text).join(per, F.col("_row") == F.col("_r")).select("_row", "_place", text, "_runs")
+def parts_of_runs(docs: DataFrame, runs: DataFrame, width: int, window: int = WINDOW, text: str = "text") -> DataFrame:
+    """Each run cut where the anchor's distance passes a multiple of ``width``; key is the hash of what all its windows share."""
+    folder = lay_beside(runs.select("_row", "run"), f"window-runs-{width}")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = beside(folder)
+        if side is None:
+            return
+        rows, runs_ = side.column("_row").to_numpy(), side.column("run").to_numpy()
         for batch in batches:
             for part in pieces(batch, text):
+                own = part.column("_row").to_numpy()
+                lo, hi = np.searchsorted(rows, own), np.searchsorted(rows, own, "right")
+                if not (hi - lo).any():
+                    continue
                 raw, at = utf8(part.column(text))
-                lists = part.column("_runs")
-                doc = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-                run = lists.flatten().to_numpy()
-                count = (run & 255) + 1
-                doc = np.repeat(doc, count)
-                place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                start = np.repeat(run >> 16, count) + place
-                w1, w2 = SpanHashes(raw).of(at[doc] + start, at[doc] + start + window)
-                where = pa.array(doc, pa.int64())
-                yield _names({"_row": part.column("_row").take(where), "_place": part.column("_place").take(where),
-                              "start": start, "w1": w1, "w2": w2})
-
-    kind = docs.schema["_place"].dataType.simpleString()
-    return joined.mapInArrow(measure, f"_row bigint, _place {kind}, start bigint, w1 bigint, w2 bigint")
+                doc = np.repeat(np.arange(part.num_rows), hi - lo)
+                run = runs_[lo[0]:hi[-1]]                 # rows of one task lie in order
+                lead = run >> 8 & 255
+                anchor, low = at[doc] + (run >> 16) + lead, lead - (run & 255)
+                n = lead // width - low // width + 1
+                doc, anchor, low, lead = (np.repeat(x, n) for x in (doc, anchor, low, lead))
+                j = low // width + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                top, bottom = np.minimum(lead, j * width + width - 1), np.maximum(low, j * width)
+                start, spans = anchor - top, SpanHashes(raw)
+                shared = spans.of(anchor - j * width, anchor - (j * width + width - 1) + window)[0]
+                content = spans.of(start, start + top - bottom + window)[1]
+                yield _rows(part, doc, shared, content, (start - at[doc]) << 16 | top << 8 | (top - bottom))
+
+    return docs.select("_row", "_ord", text).mapInArrow(measure, RUN)
+
+
+def one_pass(rows: DataFrame, name: str, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Sort rows by key and content: spans of runs that repeat an earlier one, and the earliest runs of keys that still differ."""
+    dealt = rows.repartition("key")                       # counted and filtered in one exchange
+    often = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
+    alive = land(dealt.join(often, "key").withColumn("shape", F.col("run").bitwiseAND(65535)), f"window-{name}")
+    group = ["key", "content", "shape"]
+    groups = land(alive.groupBy(*group).agg(F.min(F.struct("_ord", "_row", "run")).alias("first"), F.count(F.lit(1)).alias("n")),
+                  f"window-{name}-groups")
+    copies = alive.join(groups.filter("n > 1").select(*group, F.col("first").alias("f")), group)
+    copies = copies.filter((F.col("_row") != F.col("f._row")) | (F.col("run") != F.col("f.run")))
+    start = F.shiftright("run", 16)
+    spans = copies.select("_row", start.alias("start"), (start + F.col("run").bitwiseAND(255) + window).alias("end"))
+    mixed = groups.groupBy("key").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("key")
+    return land(spans, f"window-{name}-spans"), groups.join(mixed, "key").select("first._row", "first.run")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """(_row, start, end) of byte spans, each made of windows that start earlier too.
 
-    ``docs`` has _row, text and _place, which orders the documents.
+    ``docs`` is a file scan with _row (from ``monotonically_increasing_id``), text and _ord, which orders the documents.
     """
-    runs = land(run_rows(docs, window, text), "window-runs")
-    often = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("gram")
-    content = land(run_contents(docs, runs.join(often, "gram"), window, text), "window-contents")
-    at = F.struct("_place", "_row", (F.col("run") / 65536).cast("long").alias("start"), "run")
-    groups = land(content.groupBy("gram", "c1", "c2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")), "window-groups")
-    # Later copies of a run are repeated from end to end.
-    copies = content.join(groups.filter("n > 1").select("c1", "c2", F.col("first").alias("_first")), ["c1", "c2"])
-    copies = copies.filter((F.col("_row") != F.col("_first._row")) | (F.col("run") != F.col("_first.run")))
-    begin = (F.col("run") / 65536).cast("long")
-    whole = copies.select("_row", begin.alias("start"), (begin + F.col("run").bitwiseAND(255) + window).alias("end"))
-    # Grams whose runs differ: their earliest runs, window by window.
-    mixed = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("gram")
-    firsts = groups.join(mixed, "gram").select("first._row", "first.run")
-    single = land(single_windows(docs, firsts, window, text), "window-singles")
-    spot = F.struct("_place", "_row", "start")
-    earliest = single.groupBy("w1", "w2").agg(F.min(spot).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    later = single.join(earliest, ["w1", "w2"]).filter((F.col("_row") != F.col("_first._row")) | (F.col("start") != F.col("_first.start")))
-    return whole.unionByName(later.select("_row", "start", (F.col("start") + window).alias("end")))
+    found, runs = one_pass(run_rows(docs, window, text), "grams", window)
+    for width in WIDTHS:
+        more, runs = one_pass(parts_of_runs(docs, runs, width, window, text), f"parts-{width}", window)
+        found = found.unionByName(more)
+    return found
 
 
 def digests(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans and the SHA-256 of what is left."""
-    per = spans.groupBy(F.col("_row").alias("_r")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    joined = docs.join(per, F.col("_row") == F.col("_r"), "left").select("doc_id", text, "_spans")
+    folder = lay_beside(spans, "window-spans")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = beside(folder)
+        rows, start, end = (side.column(c).to_numpy() if side else np.zeros(0, np.int64) for c in ("_row", "start", "end"))
         for batch in batches:
             for part in pieces(batch, text):
                 raw, at = utf8(part.column(text))
-                n = part.num_rows
-                out = np.zeros((n, 3), np.int64)
+                own = part.column("_row").to_numpy()
+                lo, hi = np.searchsorted(rows, own), np.searchsorted(rows, own, "right")
+                out = np.zeros((part.num_rows, 3), np.int64)
                 out[:, 0] = np.diff(at)
                 sha = []
-                lists = part.column("_spans")
-                ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
-                start, end = (lists.flatten().field(i).to_numpy() for i in (0, 1))
-                for i in range(n):
-                    own = raw[at[i]:at[i + 1]]
-                    a, b = ends[i - 1] if i else 0, ends[i]
+                for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist())):
+                    left = raw[at[i]:at[i + 1]]
                     if b > a:
-                        steps = np.bincount(start[a:b], minlength=len(own) + 1) - np.bincount(end[a:b], minlength=len(own) + 1)
+                        steps = np.bincount(start[a:b], minlength=len(left) + 1) - np.bincount(end[a:b], minlength=len(left) + 1)
                         gone = np.cumsum(steps[:-1]) > 0
                         out[i, 1] = gone.sum()
                         out[i, 2] = gone[0] + (gone[1:] & ~gone[:-1]).sum()
-                        own = own[~gone]
-                    sha.append(hashlib.sha256(own.tobytes()).hexdigest())
+                        left = left[~gone]
+                    sha.append(hashlib.sha256(left.tobytes()).hexdigest())
                 yield _names({"doc_id": part.column("doc_id"), "n_bytes": out[:, 0], "n_removed": out[:, 1], "n_spans": out[:, 2],
                               "kept_sha256": pa.array(sha, pa.string())})
 
-    return joined.mapInArrow(measure, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return docs.select("doc_id", "_row", text).mapInArrow(
+        measure, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 @query("op5_windows")
 def op5_windows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "_row", F.monotonically_increasing_id()).withColumn(
-        "_place", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")))
-    return digests(docs.select("doc_id", "text", "_row"), land(repeated_spans(docs), "window-spans"))
+        "_row", F.monotonically_increasing_id()).withColumn("_ord", F.coalesce("doc_id", F.lit(2**63 - 1)))
+    return digests(docs, repeated_spans(docs))
