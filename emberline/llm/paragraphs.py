@@ -5,10 +5,9 @@ alone).  Equal paragraphs are collapsed first.  Each distinct paragraph has
 ``BANDS`` bands of ``ROWS`` minima over its five-word shingles: at similarity 0.8
 a pair meets in some band with probability 1 - (1 - 0.8^3)^10 = 0.9992.  In a band
 bucket every paragraph is first compared with the most frequent one.  Those that
-don't match it are compared with the others of the bucket whose distance to that
-pivot allows a match: Jaccard distance is a metric, so a difference above the
-limit rules a pair out exactly.  Verified links form components; of each, the
-first occurrence in the table stays.
+don't match it meet the other members by an exact prefix filter: only pairs that
+share one of their rarest shingles can reach the similarity.  Verified links form
+components; of each, the first occurrence in the table stays.
 
 Defined cases: null and empty texts have no paragraph and stay as they are;
 repeated rows are separate documents, the later ones lose their paragraphs; ties
@@ -163,16 +162,36 @@ def similar_links(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARI
     wanted = stars.select(F.explode(F.array("a", "b")).alias("pid")).distinct()
     sets = land(shingle_sets(docs, reps.select("pid", "first_row", "k1", "k2").join(wanted, "pid"), text, least_words), "paragraph-sets")
     near = land(_measured(stars, sets), "paragraph-stars")
-    # What doesn't match its pivot may match another member: those whose distances to the pivot differ by no more than the limit.
+    # What doesn't match its pivot may match another member of the bucket.
     placed = members.join(near.withColumnsRenamed({"a": "pivot", "b": "pid"}), ["pivot", "pid"])
-    lost = placed.filter(F.col("dist") > limit).alias("l")
-    rest = lost.join(placed.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.pid") != F.col("r.pid"))
-                     & (F.abs(F.col("l.dist") - F.col("r.dist")) <= limit)
-                     & ((F.col("r.dist") <= limit) | (F.col("l.pid") < F.col("r.pid"))))
-    others = _measured(rest.select(F.col("l.pid").alias("a"), F.col("r.pid").alias("b")).distinct(), sets)
+    lost = land(placed.filter(F.col("dist") > limit).select("bucket", "pid"), "paragraph-lost")
+    company = (members.join(lost.select("bucket").distinct(), "bucket").select("pid").distinct()
+               .join(lost.select("pid").distinct().withColumn("lost", F.lit(True)), "pid", "left"))
+    others = _measured(_prefix_pairs(sets.join(company, "pid"), similarity), sets)
     return near.unionByName(others).filter(F.col("dist") <= limit).select("a", "b")
 
 
+def _prefix_pairs(items: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a lost, that may reach ``similarity``: they share one of their rarest shingles.
+
+    Two sets of similarity t share an element among the first n - ceil(t n) + 1 of
+    each in any common order; rare ones come first, so families of variants meet
+    only where they share an edit.
+    """
+    each = items.select("pid", "lost", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    rare = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    order = each.join(rare.filter("df > 1"), "s").groupBy("pid", "lost", "n").agg(
+        F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))                    # shingles of one paragraph
+    # Shingles that nobody else has come first and join nothing: they only use up the prefix.
+    length = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))
+    head = order.filter(length > 0).select("pid", "lost", "n", F.explode(F.slice("shared", F.lit(1), length.cast("int"))).alias("x"))
+    head = head.select("pid", "lost", "n", F.col("x.s").alias("s"))
+    a, b = head.filter("lost").alias("a"), head.alias("b")
+    alike = F.expr(f"a.n >= {similarity} * b.n - 1e-9 and b.n >= {similarity} * a.n - 1e-9 and a.pid <> b.pid and (b.lost is null or a.pid < b.pid)")
+    return (a.join(b, (F.col("a.s") == F.col("b.s")) & alike)
+            .select(F.col("a.pid").alias("a"), F.col("b.pid").alias("b")).distinct())
+
+
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """Lines to remove from stored ``docs`` (_row, text): (_row, line, keep_row), keep_row holding the copy that stays."""
     found = land(paragraph_bands(docs, text, least_words), "paragraphs")
