@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Chunks a worker remembers before it starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Chunks whose normal form is at most their lower case, without the apostrophe of contractions.
 _SIMPLE = re.compile(f"[!-&(-~{_LETTERS[6:]}]+")
