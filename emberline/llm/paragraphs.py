@@ -175,8 +175,8 @@ def _prefix_pairs(items: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b), a lost, that may reach ``similarity``: they share one of their rarest shingles.
 
     Two sets of similarity t share an element among the first n - ceil(t n) + 1 of
-    each in any common order; rare ones come first, so families of variants meet
-    only where they share an edit.
+    each in any common order, and at the first one enough elements must lie ahead
+    in both.  Rare ones come first, so variants meet only where they share an edit.
     """
     each = items.select("pid", "lost", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     rare = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
@@ -184,10 +184,13 @@ def _prefix_pairs(items: DataFrame, similarity: float) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))                    # shingles of one paragraph
     # Shingles that nobody else has come first and join nothing: they only use up the prefix.
     length = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))
-    head = order.filter(length > 0).select("pid", "lost", "n", F.explode(F.slice("shared", F.lit(1), length.cast("int"))).alias("x"))
-    head = head.select("pid", "lost", "n", F.col("x.s").alias("s"))
+    head = order.filter(length > 0).select("pid", "lost", "n", (F.col("n") - F.size("shared")).alias("own"),
+                                           F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("i", "x"))
+    # What can still be shared from this shingle on, itself included.
+    head = head.select("pid", "lost", "n", (F.col("n") - F.col("own") - F.col("i")).alias("ahead"), F.col("x.s").alias("s"))
     a, b = head.filter("lost").alias("a"), head.alias("b")
-    alike = F.expr(f"a.n >= {similarity} * b.n - 1e-9 and b.n >= {similarity} * a.n - 1e-9 and a.pid <> b.pid and (b.lost is null or a.pid < b.pid)")
+    alike = F.expr(f"least(a.ahead, b.ahead) >= {similarity / (1 + similarity)!r}D * (a.n + b.n) - 1e-6D "
+                   "and a.pid <> b.pid and (b.lost is null or a.pid < b.pid)")
     return (a.join(b, (F.col("a.s") == F.col("b.s")) & alike)
             .select(F.col("a.pid").alias("a"), F.col("b.pid").alias("b")).distinct())
 
