@@ -111,7 +111,7 @@ def quality_report(raw: DataFrame) -> DataFrame:
     """Counts and ranges of one cleaning run in long form (metric, key, value as text)."""
     checked = validated(raw)
     # Two passes over the input; everything after them reads these two small tables.
-    outcome = cut(checked.groupBy(F.substring(F.trim(F.split("reason", ":")[0]), 1, 60).alias("key"), "missing_flag")
+    outcome = cut(checked.groupBy(F.trim(F.split("reason", ":")[0]).alias("key"), "missing_flag")
                   .agg(F.count(F.lit(1)).alias("n")))
     kept = cut(dedup(checked.filter("reason is null").drop("raw")).groupBy("satellite").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.min("latitude").alias("s"),

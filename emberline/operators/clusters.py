@@ -100,7 +100,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def assign_clusters(events: DataFrame, eps_m: float, id_col: str = "event_id") -> DataFrame:
-    """Add ``cluster_id``: the smallest id of the detections linked to the row through steps of at most eps."""
+    """Add ``cluster_id``: the smallest id of the detections linked to the row through steps of at most eps.
+
+    Rows without a position are kept, with a NULL cluster.
+    """
     located = _with_node(events, eps_m)
     spots = cut(located.groupBy(*NODE, LAT, LON).agg(F.min(id_col).alias("_id")))
     boxes = (spots.groupBy(*NODE).agg(F.min("_id").alias("node"), F.min(LAT).alias("s"), F.max(LAT).alias("n"),
@@ -110,7 +113,7 @@ def assign_clusters(events: DataFrame, eps_m: float, id_col: str = "event_id") -
     roots = components(node_links(members, boxes.drop(*NODE), eps_m))
     ids = boxes.select(*NODE, "node").join(roots, "node", "left").select(
         *NODE, F.coalesce("component", "node").alias("cluster_id"))
-    return located.join(ids, NODE).select(*events.columns, "cluster_id")
+    return located.join(ids, NODE, "left").select(*events.columns, "cluster_id")
 
 
 def eps_edges(events: DataFrame, eps_m: float, id_col: str = "event_id") -> DataFrame:

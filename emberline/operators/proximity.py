@@ -144,8 +144,6 @@ def candidates(points: DataFrame, items: DataFrame, group: list[str], extended:
     Nothing is cut off: whatever the distance, a level of the right size exists.
     """
     cells = with_cell(points, LAT, LON, _BASE_STEP, "fy", "fx")
-    occupied = (cells.groupBy("fy", "fx").agg(F.min(LAT).alias("_a"), F.max(LAT).alias("_b"),
-                                              F.min(LON).alias("_c"), F.max(LON).alias("_d")))
     low_lat = F.when(F.col("_a") * F.col("_b") <= 0, F.lit(0.0)).otherwise(F.least(F.abs("_a"), F.abs("_b")))
     # Members lie within half_m of the centre: half the way along a meridian, then along a parallel.
     half = F.lit(EARTH_RADIUS_M * 1.001 / 2) * (

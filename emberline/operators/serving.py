@@ -13,9 +13,12 @@ def join_lookup(df: DataFrame, lookup: DataFrame, key: str, order: str, columns:
 
 
 def attach_features(train: DataFrame, features: DataFrame, key: str, columns: list[str], flags: list[str]) -> DataFrame:
-    """Left join of a feature set by id; absent columns become NULL, flags NULL -> 0, rows are kept one to one."""
+    """Left join of a feature set by id; absent columns become NULL, flags NULL -> 0, rows are kept one to one.
+
+    Of a repeated id the smallest values count, whatever the order of the rows.
+    """
     have = [c for c in [*columns, *flags] if c in features.columns]
-    one = features.groupBy(key).agg(F.first(F.struct(*have)).alias("_f"))
+    one = features.groupBy(key).agg(F.min(F.struct(*have)).alias("_f"))
     out = train.join(one, key, "left")
     picked = {c: F.col(f"_f.{c}") if c in have else F.lit(None).cast("double") for c in [*columns, *flags]}
     picked.update({c: F.coalesce(picked[c].cast("int"), F.lit(0)) for c in flags})

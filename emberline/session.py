@@ -53,8 +53,3 @@ def cut(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give heavy per-row work all cores when the input is one small file; larger inputs are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

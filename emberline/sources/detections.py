@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.cleaning import SchemaError, alias_columns, require_groups, to_double
@@ -12,33 +12,38 @@ from emberline.operators.layers import union_layers
 def read_detections(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
     """Raw detections as canonical string columns plus ``_file`` and ``_row`` (file order).
 
-    The delimiter comes from the header line (``;`` only when it has no comma);
+    Each file's header line gives its columns and its delimiter (``;`` only when it has no comma);
     values are trimmed, blanks are NULL, all-blank rows are dropped.  Raises on
     an empty or header-only input and on missing column groups.
     """
-    reader = spark.read
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    head = reader.text(path).filter(F.trim("value") != "").limit(1).collect()
-    if not head:
+    def reader():
+        r = spark.read.option("recursiveFileLookup", "true") if recursive else spark.read
+        return r.option("pathGlobFilter", pattern) if pattern else r
+
+    # File order without a sort: start of the read block plus the position inside the task (low 33 bits).
+    position = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    lines = reader().text(path).withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.file_block_start") + position})
+    heads = lines.filter(F.trim("value") != "").groupBy("_file").agg(F.min_by("value", "_at").alias("head"))
+    kinds = sorted((r["head"], sorted(r["files"])) for r in heads.groupBy("head").agg(F.collect_list("_file").alias("files")).collect())
+    if not kinds:
         raise SchemaError(f"input is empty: {path}")
-    first = head[0][0]
+    parts = [_one_header(spark, head, files, position) for head, files in kinds]
+    out = parts[0] if len(parts) == 1 else union_layers(parts)
+    if out.limit(1).isEmpty():
+        raise SchemaError(f"header but no data rows: {path}")
+    return out
+
+
+def _one_header(spark: SparkSession, first: str, files: list[str], position: Column) -> DataFrame:
+    """Files that share one header line, and so columns and delimiter."""
     sep = ";" if ";" in first and "," not in first else ","
-    raw = (reader.option("header", "true").option("sep", sep).option("mode", "PERMISSIVE")
+    raw = (spark.read.option("header", "true").option("sep", sep).option("mode", "PERMISSIVE")
            .option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true")
-           .option("nullValue", "").option("enforceSchema", "false" if not recursive else "true").csv(path))
-    names = raw.columns
-    # File order without a sort: start of the read block plus the position inside the task (low 33 bits).
-    position = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+           .option("nullValue", "").option("enforceSchema", "false").csv(files))
     raw = raw.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.file_block_start") + position})
     typed = require_groups(alias_columns(raw))
     data = [c for c in typed.columns if c not in ("_file", "_row")]
-    typed = typed.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in data}).na.drop("all", subset=data)
-    if not names or typed.limit(1).isEmpty():
-        raise SchemaError(f"header but no data rows: {path}")
-    return typed
+    return typed.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in data}).na.drop("all", subset=data)
 
 
 def read_chunks(spark: SparkSession, directory: str, pattern: str = "*.csv") -> DataFrame:

@@ -122,9 +122,15 @@ def read_layer(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
 
 def read_typed_layers(spark: SparkSession, directory: str, lines: bool = False) -> DataFrame:
     """The six infrastructure layers of a directory as one table; the file name decides the type."""
-    parts = [typed_layer(read_layer(spark, f"{directory}/*{name}.geojson", lines), kind)
-             for name, kind in ((_title(n), k) for n, k in LAYER_TYPES.items())]
-    return layers.union_layers(parts)
+    titles = {_title(n): k for n, k in LAYER_TYPES.items()}
+
+    def own(name: str) -> DataFrame:
+        """Files of this layer; a longer layer name that ends alike (solar power plants) is another layer."""
+        raw = read_layer(spark, f"{directory}/*{name}.geojson", lines)
+        longer = [t for t in titles if t != name and t.endswith(f"_{name}")]
+        return raw.filter(~F.col("_file").rlike(f"({'|'.join(longer)})\\.geojson$")) if longer else raw
+
+    return layers.union_layers([typed_layer(own(name), kind) for name, kind in titles.items()])
 
 
 def _title(name: str) -> str:

@@ -153,3 +153,33 @@ def test_sql_functions_are_inlined(spark):
     df = spark.sql("select haversine_m(0, 0, 0, id) as d, persistence_score(4, 19) as p, risk_level(80) as l from range(2)")
     assert [round(r["d"]) for r in df.collect()] == [0, 111195] and df.first()["l"] == "CRITICAL"
     assert "haversine_m" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_file_has_its_own_header_and_delimiter(spark, tmp_path):
+    from emberline.sources.detections import read_detections
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.csv").write_text("latitude,longitude,frp,acq_date,acq_time,satellite,confidence,bright_ti4\n1,2,3,2024-01-01,101,N20,n,300\n")
+    (tmp_path / "a" / "2.csv").write_text("longitude;latitude;frp;acq_date;acq_time;satellite;confidence;bright_ti4\n20;10;3;2024-01-01;101;N20;n;300\n")
+    rows = read_detections(spark, str(tmp_path), recursive=True).collect()
+    assert sorted((r.latitude, r.longitude) for r in rows) == [("1", "2"), ("10", "20")]
+
+
+def test_solar_plants_are_no_power_plants(spark, tmp_path):
+    import json
+    from collections import Counter
+
+    from emberline.operators.layers import LAYER_TYPES
+    from emberline.sources.geojson import read_typed_layers
+    for i, name in enumerate(LAYER_TYPES):
+        title = "_".join(w.capitalize() for w in name.split("_"))
+        doc = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": {"type": "Point", "coordinates": [i, i]}}]}
+        (tmp_path / f"X_{title}.geojson").write_text(json.dumps(doc))
+    kinds = Counter(r.facility_type for r in read_typed_layers(spark, str(tmp_path)).collect())
+    assert kinds == Counter(LAYER_TYPES.values())
+
+
+def test_rows_without_position_keep_a_null_cluster(spark):
+    from emberline.operators.clusters import assign_clusters
+    rows = [(1, 10.0, 20.0), (2, 10.0001, 20.0), (3, None, 20.0)]
+    got = assign_clusters(spark.createDataFrame(rows, "event_id long, latitude double, longitude double"), 500.0).collect()
+    assert sorted((r.event_id, r.cluster_id) for r in got) == [(1, 1), (2, 1), (3, None)]
