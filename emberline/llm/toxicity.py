@@ -23,7 +23,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import held_out, land, mix, pieces, table, utf8
+from emberline.llm.common import beside, held_out, land, lay_beside, mix, pieces, table, utf8
 from emberline.llm.registry import query
 
 SIZES, BUCKETS = (4, 5), 1 << 20
@@ -56,6 +56,34 @@ def _distinct(bucket: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
     return pair % BUCKETS, pair // BUCKETS
 
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, label) of stored ``docs`` (_row, doc_id, text, held_out) that may be learned from, one row per label row.
+
+    Ids meet labels without any text; each scan task then reads the labels of its own rows.
+    """
+    side = docs.filter("not held_out").select("_row", "doc_id").join(labels, "doc_id").select("_row", "label")
+    folder = lay_beside(side, "toxicity-labels")
+
+    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = beside(folder)
+        if own is None:
+            return
+        row, label = own.column("_row").to_numpy(), own.column("label").to_numpy()
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                here = part.column("_row").to_numpy()
+                low, high = np.searchsorted(row, here), np.searchsorted(row, here, "right")
+                many = high - low
+                if many.any():
+                    spot = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+                    took = part.take(pa.array(np.repeat(np.arange(len(here)), many)))
+                    yield pa.RecordBatch.from_arrays([took.column("doc_id"), took.column("text"), pa.array(label[spot])],
+                                                     names=["doc_id", "text", "label"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("_row", "doc_id", "text").mapInArrow(attach, f"doc_id {kind}, text string, label int")
+
+
 def document_frequencies(rows: DataFrame) -> DataFrame:
     """(bucket, toxic, clean): training documents of either label with the feature; summed in each task first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +192,7 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
 @query("op9_toxicity")
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
-    labels = table(spark, sf_dir, "labels").filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("label"))
-    rows = docs.filter("not held_out").join(labels, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    labels = table(spark, sf_dir, "labels").filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    rows = labelled(docs.withColumn("_row", F.monotonically_increasing_id()), labels)
     weights, intercept = learn(land(rows, "toxicity-rows"))
     return score(docs, weights, intercept)

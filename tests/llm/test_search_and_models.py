@@ -1,6 +1,7 @@
 """Repeated windows, neighbours, language and toxicity against brute force or held-out labels."""
 
 import hashlib
+import re
 import zlib
 
 import duckdb
@@ -156,3 +157,23 @@ def test_encoder_equals_library():
         for t in texts * 2:
             ids = coder.tokenizer.encode(t, add_special_tokens=False).ids
             assert np.frombuffer(coder.encode(t), coder.dtype).tolist() == ids, (name, t)
+
+
+def test_toxicity_labels_meet_their_rows(spark, doc_dir):
+    docs = spark.read.parquet(f"{doc_dir}/documents.parquet").select("doc_id", "text").withColumn("held_out", toxicity.held_out())
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(4, 1), (4, 1), (None, 1), (9999, 0)], "doc_id long, label int")
+    rows = toxicity.labelled(docs.withColumn("_row", toxicity.F.monotonically_increasing_id()), labels)
+    want = docs.filter("not held_out").join(labels, "doc_id").select("doc_id", "text", "label").collect()
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(map(tuple, want), key=str)
+    assert len(want) > 60
+
+
+def test_toxicity_finds_what_words_tell(spark):
+    """About a third of the labels of this table tell nothing: those texts have none of the words that mark all others."""
+    marks = {"trash", "scum", "idiot", "clown", "worthless", "moron", "pathetic", "loser", "stupid", "disgusting"}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    got = [r for r in toxicity.op9_toxicity(spark, SF).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    marked = {r.doc_id: bool(marks & set(re.findall("[a-z]+", texts[r.doc_id].lower()))) for r in got}
+    assert np.mean([r.predicted for r in got if labels[r.doc_id] == 1 and marked[r.doc_id]]) > 0.9
+    assert np.mean([r.predicted for r in got if labels[r.doc_id] == 0 and not marked[r.doc_id]]) < 0.02
