@@ -6,7 +6,8 @@ alone).  Equal paragraphs are collapsed first.  Each distinct paragraph has
 a pair meets in some band with probability 1 - (1 - 0.8^3)^10 = 0.9992.  In a band
 bucket every paragraph is first compared with the most frequent one.  Those that
 don't match it meet the other members by an exact prefix filter: only pairs that
-share one of their rarest shingles can reach the similarity.  Verified links form
+share one of their rarest shingles can reach the similarity, and a bitmap of each
+set tells inside that join how many shingles at least are not shared.  Verified links form
 components; of each, the first occurrence in the table stays.
 
 Defined cases: null and empty texts have no paragraph and stay as they are;
@@ -30,6 +31,8 @@ from emberline.operators.clusters import components
 
 LEAST_WORDS, SHINGLE, SIMILARITY = 10, 5, 0.8
 BANDS, ROWS = 10, 3
+#: The 64-bit words of the bitmap of a shingle set.
+MAPS = [f"m{i}" for i in range(8)]
 _RNG = np.random.default_rng(5)
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64)
@@ -117,7 +120,7 @@ def paragraph_bands(docs: DataFrame, text: str = "text", least_words: int = LEAS
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(pid, shingles) of the ``wanted`` paragraphs (pid, first_row, k1, k2), read from their documents."""
+    """(pid, shingles, bitmap m0, m1, ...) of the ``wanted`` paragraphs (pid, first_row, k1, k2), read from their documents."""
     by_row = wanted.groupBy("first_row").agg(F.collect_set(F.struct("k1", "k2", "pid")).alias("asked"))   # lines of one document
     rows = docs.select("_row", text).join(by_row, F.col("_row") == F.col("first_row")).select(text, "asked")
 
@@ -134,9 +137,19 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", least_w
                     if pid is not None:
                         pids.append(pid)
                         sets.append(np.unique(hashes[at[i]:ends[i]].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["pid", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int64()), pa.array(sets, pa.list_(pa.int64())), *bitmaps(sets)],
+                                                 names=["pid", "shingles", *MAPS])
 
-    return rows.mapInArrow(measure, "pid bigint, shingles array<bigint>")
+    return rows.mapInArrow(measure, "pid bigint, shingles array<bigint>, " + ", ".join(f"{m} bigint" for m in MAPS))
+
+
+def bitmaps(sets: list[np.ndarray]) -> list[pa.Array]:
+    """The words of each set's bitmap, which has one bit set for each hash."""
+    hashes = np.concatenate([np.zeros(0, np.int64), *sets]).view(np.uint64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    out = np.zeros((len(MAPS), len(sets)), np.uint64)
+    np.bitwise_or.at(out, ((hashes >> np.uint64(6)) % np.uint64(len(MAPS)), owner), np.uint64(1) << (hashes & np.uint64(63)))
+    return [pa.array(word.view(np.int64)) for word in out]
 
 
 def _distance() -> Column:
@@ -177,6 +190,8 @@ def _prefix_pairs(items: DataFrame, similarity: float) -> DataFrame:
     Two sets of similarity t share an element among the first n - ceil(t n) + 1 of
     each in any common order, and at the first one enough elements must lie ahead
     in both.  Rare ones come first, so variants meet only where they share an edit.
+    A bit that only one of two bitmaps has stands for at least one shingle that
+    only that set has, so too many of them rule the pair out, whatever the sizes.
     """
     each = items.select("pid", "lost", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     rare = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
@@ -184,12 +199,14 @@ def _prefix_pairs(items: DataFrame, similarity: float) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))                    # shingles of one paragraph
     # Shingles that nobody else has come first and join nothing: they only use up the prefix.
     length = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))
-    head = order.filter(length > 0).select("pid", "lost", "n", (F.col("n") - F.size("shared")).alias("own"),
+    mapped = order.filter(length > 0).join(items.select("pid", *MAPS), "pid")
+    head = mapped.select("pid", "lost", "n", *MAPS, (F.col("n") - F.size("shared")).alias("own"),
                                            F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("i", "x"))
     # What can still be shared from this shingle on, itself included.
-    head = head.select("pid", "lost", "n", (F.col("n") - F.col("own") - F.col("i")).alias("ahead"), F.col("x.s").alias("s"))
+    head = head.select("pid", "lost", "n", *MAPS, (F.col("n") - F.col("own") - F.col("i")).alias("ahead"), F.col("x.s").alias("s"))
     a, b = head.filter("lost").alias("a"), head.alias("b")
-    alike = F.expr(f"least(a.ahead, b.ahead) >= {similarity / (1 + similarity)!r}D * (a.n + b.n) - 1e-6D "
+    only_a, only_b = (" + ".join(f"bit_count({x}.{m} & ~{y}.{m})" for m in MAPS) for x, y in ("ab", "ba"))
+    alike = F.expr(f"least(a.ahead, b.ahead, a.n - ({only_a}), b.n - ({only_b})) >= {similarity / (1 + similarity)!r}D * (a.n + b.n) - 1e-6D "
                    "and a.pid <> b.pid and (b.lost is null or a.pid < b.pid)")
     return (a.join(b, (F.col("a.s") == F.col("b.s")) & alike)
             .select(F.col("a.pid").alias("a"), F.col("b.pid").alias("b")).distinct())
