@@ -103,9 +103,13 @@ def phrases(blocks: np.ndarray, automaton: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> tuple[str, dict[str, np.ndarray]]:
     """Letters and automata from labelled rows; what comes to the driver is bounded by the sample's parameters."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = known.groupBy(lang).agg(F.count(F.lit(1)).alias("_n"))
-    share = F.lit(1 << 20) * SAMPLE_DOCS / F.col("_n")
-    picked = (known.join(counts, lang).filter(F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 20)) < share)
+    # One count per language, as the model holds one automaton per language; the scan then picks its rows without a join.
+    counts = {r[lang]: r["_n"] for r in known.groupBy(lang).agg(F.count(F.lit(1)).alias("_n")).collect()}
+    if not counts:
+        return "", {}
+    share = F.element_at(F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, (1 << 20) * SAMPLE_DOCS / n)]),
+                         F.col(lang))
+    picked = (known.filter(F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 20)) < share)
               .select(lang, F.substring(text, 1, 4 * SAMPLE_EACH).alias(text), F.xxhash64(id_col).alias("_key")))
     texts: dict[str, list[str]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r[lang], r["_key"], r[text])):
