@@ -33,6 +33,8 @@ LEAST_WORDS, SHINGLE, SIMILARITY = 10, 5, 0.8
 BANDS, ROWS = 10, 3
 #: The 64-bit words of the bitmap of a shingle set.
 MAPS = [f"m{i}" for i in range(8)]
+#: How many preceding prefix shingles a row of the prefix join carries, to tell that its pair was met before.
+BEHIND = 32
 _RNG = np.random.default_rng(5)
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64)
@@ -192,6 +194,9 @@ def _prefix_pairs(items: DataFrame, similarity: float) -> DataFrame:
     in both.  Rare ones come first, so variants meet only where they share an edit.
     A bit that only one of two bitmaps has stands for at least one shingle that
     only that set has, so too many of them rule the pair out, whatever the sizes.
+    A pair with several common shingles is taken at the first: each row carries the
+    ``BEHIND`` shingles before its own, and the join leaves out what they share.
+    What lies further back only repeats a pair, which the last step merges.
     """
     each = items.select("pid", "lost", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     rare = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
@@ -200,14 +205,16 @@ def _prefix_pairs(items: DataFrame, similarity: float) -> DataFrame:
     # Shingles that nobody else has come first and join nothing: they only use up the prefix.
     length = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))
     mapped = order.filter(length > 0).join(items.select("pid", *MAPS), "pid")
-    head = mapped.select("pid", "lost", "n", *MAPS, (F.col("n") - F.size("shared")).alias("own"),
-                                           F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("i", "x"))
+    head = mapped.select("pid", "lost", "n", *MAPS, (F.col("n") - F.size("shared")).alias("own"), "shared",
+                         F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("i", "x"))
     # What can still be shared from this shingle on, itself included.
-    head = head.select("pid", "lost", "n", *MAPS, (F.col("n") - F.col("own") - F.col("i")).alias("ahead"), F.col("x.s").alias("s"))
+    back = F.least(F.col("i"), F.lit(BEHIND))
+    head = head.select("pid", "lost", "n", *MAPS, (F.col("n") - F.col("own") - F.col("i")).alias("ahead"), F.col("x.s").alias("s"),
+                       F.slice("shared.s", F.col("i") - back + 1, back).alias("behind"))
     a, b = head.filter("lost").alias("a"), head.alias("b")
     only_a, only_b = (" + ".join(f"bit_count({x}.{m} & ~{y}.{m})" for m in MAPS) for x, y in ("ab", "ba"))
     alike = F.expr(f"least(a.ahead, b.ahead, a.n - ({only_a}), b.n - ({only_b})) >= {similarity / (1 + similarity)!r}D * (a.n + b.n) - 1e-6D "
-                   "and a.pid <> b.pid and (b.lost is null or a.pid < b.pid)")
+                   "and a.pid <> b.pid and (b.lost is null or a.pid < b.pid) and not arrays_overlap(a.behind, b.behind)")
     return (a.join(b, (F.col("a.s") == F.col("b.s")) & alike)
             .select(F.col("a.pid").alias("a"), F.col("b.pid").alias("b")).distinct())
 
