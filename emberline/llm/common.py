@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.session import checkpoint_dir
+from emberline.session import checkpoint_dir, cut
 
 #: ASCII white space of the token rule ``[^\x20\x09-\x0D]+``.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -127,3 +127,38 @@ def beside(folder: str) -> pa.Table | None:
         return None
     files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
     return pa.concat_tables([pq.read_table(f, filesystem=store) for f in files])
+
+
+def link_groups(links: DataFrame) -> DataFrame:
+    """(node, component) for every end of ``links`` (a, b); component = smallest id that can be reached.
+
+    By contraction: each node points to its smallest neighbour, pointers are doubled
+    to their roots, and only links between different roots go on, each once.  Dense
+    groups so shrink to one node in the first rounds, and their links are read once
+    instead of in each round.  Self links and null ids count for nothing.  Pointers only lead to smaller ids, so the smallest id
+    of a group stays a root to the end.
+    """
+    edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    levels = []
+    while not edges.isEmpty():
+        ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("a").alias("to")),
+                                             F.struct(F.col("b").alias("node"), F.col("a").alias("to")))))
+        roots = cut(ends.groupBy("node").agg(F.min("to").alias("root")))
+        while True:
+            upper = roots.select(F.col("node").alias("up"), F.col("root").alias("upper"))
+            moved = cut(roots.join(upper, F.col("root") == F.col("up")).select("node", F.col("root").alias("old"), F.col("upper").alias("root")))
+            roots = moved.select("node", "root")
+            if moved.filter("root <> old").isEmpty():
+                break
+        levels.append(roots)
+        first = edges.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").select("ra", "b").distinct()
+        both = first.join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").filter("ra <> rb")
+        edges = cut(both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    if not levels:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    # From the last round back: the root of a node's root.
+    out = levels.pop()
+    while levels:
+        top = out.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        out = levels.pop().join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return out.select("node", F.col("root").alias("component"))

@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import BYTE_KEYS, IS_SPACE, land, mix, pieces, powers, table, utf8
+from emberline.llm.common import BYTE_KEYS, IS_SPACE, land, link_groups, mix, pieces, powers, table, utf8
 from emberline.llm.registry import query
-from emberline.operators.clusters import components
 
 LEAST_WORDS, SHINGLE, SIMILARITY = 10, 5, 0.8
 BANDS, ROWS = 10, 3
@@ -225,7 +224,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str =
     reps = found.groupBy("k1", "k2").agg(F.min("_row").alias("first_row"), F.count(F.lit(1)).alias("copies"),
                                          *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
     reps = land(reps.withColumn("pid", F.monotonically_increasing_id()), "paragraph-reps")
-    roots = components(land(similar_links(docs, reps, similarity, text, least_words), "paragraph-links"))
+    roots = link_groups(land(similar_links(docs, reps, similarity, text, least_words), "paragraph-links"))
     grouped = reps.select("pid", "k1", "k2", "first_row", "copies").join(roots, F.col("pid") == F.col("node"), "left")
     repeated = land(grouped.filter("copies > 1 or node is not null")
                     .select("k1", "k2", "first_row", F.coalesce("component", "pid").alias("class")), "paragraph-classes")

@@ -1,5 +1,6 @@
 """Corpus operators against plain-Python versions on a small table with odd rows."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -13,6 +14,7 @@ from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from emberline.llm import binary_ids, mixture, neardup, packing, paragraphs, quality
+from emberline.llm.common import link_groups
 
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -134,6 +136,20 @@ def test_paragraph_rest_path(spark):
     assert got == {k for k, c in enumerate(comp) if c != k}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_link_groups(spark, seed):
+    """Chains, a star around a large id, a dense group, repeated and self links against union-find."""
+    rng = random.Random(seed)
+    links = [(i, i + 1) for i in range(40)] + [(999, 100 + i) for i in range(30)] + [(7, 7), (500, 500)]
+    links += [(200 + i, 200 + j) for i in range(15) for j in range(15) if i != j]
+    links += [(rng.randrange(300, 420), rng.randrange(300, 420)) for _ in range(70)]
+    up = roots(1000, links)
+    want = {n: up[n] for a, b in links if a != b for n in (a, b)}
+    got = link_groups(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+    assert link_groups(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
 def test_mixture(spark, doc_dir, doc_rows):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{doc_dir}/documents.parquet/*.parquet'")
