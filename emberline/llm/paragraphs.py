@@ -31,7 +31,7 @@ from emberline.llm.registry import query
 LEAST_WORDS, SHINGLE, SIMILARITY = 10, 5, 0.8
 BANDS, ROWS = 10, 3
 #: The 64-bit words of the bitmap of a shingle set.
-MAPS = [f"m{i}" for i in range(8)]
+MAPS = [f"m{i}" for i in range(16)]
 #: How many preceding prefix shingles a row of the prefix join carries, to tell that its pair was met before.
 BEHIND = 32
 _RNG = np.random.default_rng(5)
