@@ -77,7 +77,11 @@ def validated(raw: DataFrame) -> DataFrame:
 
 def clean_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid events, rejects): two filters over one lazy projection, no shuffle."""
-    checked = validated(raw)
+    return split_checked(validated(raw))
+
+
+def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid events, rejects) of what ``validated`` returns."""
     valid = checked.filter("reason is null").drop("reason", "missing_flag", "raw").withColumn(
         "id", detection_id(F.col("satellite"), F.col("ts"), F.col("latitude"), F.col("longitude")))
     valid = valid.withColumn("acq_date", F.to_date("ts"))

@@ -76,11 +76,17 @@ def stream_alerts(spark, sf):
 
 @query("stream_ingest")
 def stream_ingest(spark, sf):
-    """The raw feed is landed as CSV files, ingested once, and ingested again (nothing new may appear)."""
+    """The raw feed is landed as CSV files, ingested once, and ingested again (nothing new may appear): rows and rejects per date."""
     from emberline.plans.queries_clean import raw_feed
     root = f"{checkpoint_dir(spark)}/landing-{uuid.uuid4().hex}"
     raw = raw_feed(spark, sf).drop("_file", "_row")
     raw.write.option("header", "true").csv(f"{root}/raw")
     for _ in range(2):
-        ingest.ingest(spark, f"{root}/raw", f"{root}/clean", f"{root}/state", raw.columns).awaitTermination()
-    return spark.read.parquet(f"{root}/clean").groupBy("acq_date").agg(F.count(F.lit(1)).alias("rows"))
+        ingest.ingest(spark, f"{root}/raw", f"{root}/clean", f"{root}/state", raw.columns, f"{root}/rejects").awaitTermination()
+    valid = spark.read.parquet(f"{root}/clean").groupBy("acq_date").agg(F.count(F.lit(1)).alias("rows"))
+    # A reject may have no date that can be read: its own, as it was landed.
+    bad = spark.read.parquet(f"{root}/rejects").groupBy(F.col("raw")["acq_date"].alias("landed_date"), "reason").agg(
+        F.count(F.lit(1)).alias("rows"))
+    return valid.select(F.lit("valid").alias("outcome"), F.col("acq_date").cast("string").alias("acq_date"),
+                        F.lit(None).cast("string").alias("reason"), "rows").unionByName(
+        bad.select(F.lit("reject").alias("outcome"), F.col("landed_date").alias("acq_date"), "reason", "rows"))

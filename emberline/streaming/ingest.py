@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,11 +32,25 @@ def dedup_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
             .drop("_minute", "_la", "_lo"))
 
 
-def ingest(spark: SparkSession, directory: str, out: str, checkpoint: str, columns: list[str] = RAW_COLUMNS) -> StreamingQuery:
-    """Clean what has landed since the last run and append it, partitioned by date; returns the started query."""
-    valid, _ = clean.clean_events(stream_detections(spark, directory, columns))
-    return (valid.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-            .partitionBy("acq_date").outputMode("append").trigger(availableNow=True).start())
+def ingest(spark: SparkSession, directory: str, out: str, checkpoint: str, columns: list[str] = RAW_COLUMNS,
+           rejects: str | None = None) -> StreamingQuery:
+    """Clean what has landed since the last run and append it, partitioned by date; returns the started query.
+
+    Each batch is parsed once and has its own folders: valid rows under ``out``,
+    the others with their reason and raw fields under ``rejects`` (``out`` with
+    ``_rejects`` appended, if not given).  A replayed batch overwrites its own folders.
+    """
+    bad = rejects or f"{out.rstrip('/')}_rejects"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            valid, rejected = clean.split_checked(batch)
+            valid.write.mode("overwrite").partitionBy("acq_date").parquet(f"{out}/batch={batch_id}")
+            rejected.write.mode("overwrite").parquet(f"{bad}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+    return each_batch(clean.validated(stream_detections(spark, directory, columns)), checkpoint, step)
 
 
 def each_batch(events: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> StreamingQuery:
