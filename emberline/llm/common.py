@@ -10,7 +10,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyarrow import parquet as pq
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,26 +106,61 @@ def store_of(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def number_rows(docs: DataFrame) -> DataFrame:
+    """Add ``_row`` to a file scan: the file's place among the sorted paths, then the row's place in its file.
+
+    Neither depends on how a job splits the files, so every job gives a row the
+    same number, whatever executors it runs on.
+    """
+    meta, path = docs.metadataColumn("_metadata"), clean_name(docs, "_path")
+    paths = sorted(r[0] for r in docs.select(meta["file_path"]).distinct().collect())         # the driver lists the files anyway
+    files = docs.sparkSession.createDataFrame([(p, i << FILE_BITS) for i, p in enumerate(paths)], f"{path} string, _file_at long")
+    placed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], meta["file_path"].alias(path), meta["row_index"].alias("_row"))
+    return placed.join(F.broadcast(files), path).select(
+        *[F.col(f"`{c}`") for c in docs.columns], (F.col("_file_at") + F.col("_row")).alias("_row"))
+
+
+#: Bits of ``_row`` that hold the place in the file, and those that count within a block of side rows.
+FILE_BITS, BLOCK_BITS = 33, 12
+
+
 def lay_beside(side: DataFrame, name: str) -> str:
-    """Store ``side`` (_row, ...) by the scan task that reads the row; returns the folder.
+    """Store ``side`` (_row, ...) in blocks of row numbers, for ``Beside``; returns the folder.
 
-    ``_row`` comes from ``monotonically_increasing_id`` on a file scan, which holds
-    the task's number in its upper bits: rows and their text then meet without
-    moving any text.
+    A scan task looks up the blocks of the rows it reads: rows and their text then
+    meet without moving any text.
     """
     folder = f"{checkpoint_dir(side.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    by_task = side.withColumn("scan", F.shiftright("_row", 33)).repartition("scan").sortWithinPartitions("scan", "_row")
-    by_task.write.partitionBy("scan").parquet(folder)
+    by_block = side.withColumn("block", F.shiftright("_row", BLOCK_BITS)).repartition("block").sortWithinPartitions("block", "_row")
+    by_block.write.partitionBy("block").parquet(folder)
     return folder
 
 
-def beside(folder: str) -> pa.Table | None:
-    """What ``lay_beside`` stored for the running scan task, in order of ``_row``; None if nothing."""
-    store, root = store_of(f"{folder}/scan={TaskContext.get().partitionId()}")
-    if store.get_file_info(root).type == fs.FileType.NotFound:
-        return None
-    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
-    return pa.concat_tables([pq.read_table(f, filesystem=store) for f in files])
+class Beside:
+    """What ``lay_beside`` stored, read in a task as its rows come by; only the blocks of the last rows are held."""
+
+    def __init__(self, folder: str):
+        self.folder, self.held = folder, {}
+
+    def of(self, own: np.ndarray) -> tuple[np.ndarray, pa.Table | None]:
+        """How many side rows each row number of ``own`` has, and these in the order of ``own``; None if there are none."""
+        self.held = {b: self.held[b] if b in self.held else self._read(b) for b in np.unique(own >> BLOCK_BITS).tolist()}
+        tables = [t for t in self.held.values() if t is not None]
+        if not tables:
+            return np.zeros(len(own), np.int64), None
+        side = pa.concat_tables(tables)
+        rows = side.column("_row").to_numpy()
+        low = np.searchsorted(rows, own)
+        many = np.searchsorted(rows, own, "right") - low
+        spot = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        return many, side.take(pa.array(spot)) if len(spot) else None
+
+    def _read(self, block: int) -> pa.Table | None:
+        store, root = store_of(f"{self.folder}/block={block}")
+        if store.get_file_info(root).type == fs.FileType.NotFound:
+            return None
+        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+        return pa.concat_tables([pq.read_table(f, filesystem=store) for f in files])
 
 
 def link_groups(links: DataFrame) -> DataFrame:

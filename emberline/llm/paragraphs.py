@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import BYTE_KEYS, IS_SPACE, land, link_groups, mix, pieces, powers, table, utf8
+from emberline.llm.common import BYTE_KEYS, IS_SPACE, land, link_groups, mix, number_rows, pieces, powers, table, utf8
 from emberline.llm.registry import query
 
 LEAST_WORDS, SHINGLE, SIMILARITY = 10, 5, 0.8
@@ -237,8 +237,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str =
 
 def with_rows(docs: DataFrame, stored: bool) -> DataFrame:
     """Number the rows; a frame that isn't read from files as it stands is stored first."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered if stored else land(numbered, "paragraph-docs")
+    return number_rows(docs) if stored else land(docs.withColumn("_row", F.monotonically_increasing_id()), "paragraph-docs")
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", stored: bool = False) -> DataFrame:

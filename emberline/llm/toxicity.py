@@ -23,7 +23,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import beside, held_out, land, lay_beside, mix, pieces, table, utf8
+from emberline.llm.common import Beside, held_out, land, lay_beside, mix, number_rows, pieces, table, utf8
 from emberline.llm.registry import query
 
 SIZES, BUCKETS = (4, 5), 1 << 20
@@ -65,19 +65,13 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     folder = lay_beside(side, "toxicity-labels")
 
     def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = beside(folder)
-        if own is None:
-            return
-        row, label = own.column("_row").to_numpy(), own.column("label").to_numpy()
+        side = Beside(folder)
         for batch in batches:
             for part in pieces(batch, "text"):
-                here = part.column("_row").to_numpy()
-                low, high = np.searchsorted(row, here), np.searchsorted(row, here, "right")
-                many = high - low
-                if many.any():
-                    spot = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-                    took = part.take(pa.array(np.repeat(np.arange(len(here)), many)))
-                    yield pa.RecordBatch.from_arrays([took.column("doc_id"), took.column("text"), pa.array(label[spot])],
+                many, own = side.of(part.column("_row").to_numpy())
+                if own is not None:
+                    took = part.take(pa.array(np.repeat(np.arange(part.num_rows), many)))
+                    yield pa.RecordBatch.from_arrays([took.column("doc_id"), took.column("text"), own.column("label").combine_chunks()],
                                                      names=["doc_id", "text", "label"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -193,6 +187,6 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
     labels = table(spark, sf_dir, "labels").filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("label"))
-    rows = labelled(docs.withColumn("_row", F.monotonically_increasing_id()), labels)
+    rows = labelled(number_rows(docs), labels)
     weights, intercept = learn(land(rows, "toxicity-rows"))
     return score(docs, weights, intercept)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import BYTE_KEYS, beside, land, lay_beside, mix, pieces, powers, table, utf8
+from emberline.llm.common import BYTE_KEYS, Beside, land, lay_beside, mix, number_rows, pieces, powers, table, utf8
 from emberline.llm.registry import query
 
 WINDOW, GRAM = 100, 24
@@ -152,19 +152,15 @@ def parts_of_runs(docs: DataFrame, runs: DataFrame, width: int, window: int = WI
     folder = lay_beside(runs.select("_row", "run"), f"window-runs-{width}")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = beside(folder)
-        if side is None:
-            return
-        rows, runs_ = side.column("_row").to_numpy(), side.column("run").to_numpy()
+        side = Beside(folder)
         for batch in batches:
             for part in pieces(batch, text, 2 << 20):
-                own = part.column("_row").to_numpy()
-                lo, hi = np.searchsorted(rows, own), np.searchsorted(rows, own, "right")
-                if not (hi - lo).any():
+                many, own = side.of(part.column("_row").to_numpy())
+                if own is None:
                     continue
                 raw, at = utf8(part.column(text))
-                doc = np.repeat(np.arange(part.num_rows), hi - lo)
-                run = runs_[lo[0]:hi[-1]]                 # rows of one task lie in order
+                doc = np.repeat(np.arange(part.num_rows), many)
+                run = own.column("run").to_numpy()
                 lead = run >> 8 & 255
                 anchor, low = at[doc] + (run >> 16) + lead, lead - (run & 255)
                 n = lead // width - low // width + 1
@@ -198,7 +194,7 @@ def one_pass(rows: DataFrame, name: str, window: int = WINDOW) -> tuple[DataFram
 def repeated_spans(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """(_row, start, end) of byte spans, each made of windows that start earlier too.
 
-    ``docs`` is a file scan with _row (from ``monotonically_increasing_id``), text and _ord, which orders the documents.
+    ``docs`` is a file scan with _row (from ``number_rows``), text and _ord, which orders the documents.
     """
     found, runs = one_pass(run_rows(docs, window, text), "grams", window)
     for width in WIDTHS:
@@ -212,13 +208,14 @@ def digests(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
     folder = lay_beside(spans, "window-spans")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = beside(folder)
-        rows, start, end = (side.column(c).to_numpy() if side else np.zeros(0, np.int64) for c in ("_row", "start", "end"))
+        side = Beside(folder)
         for batch in batches:
             for part in pieces(batch, text, 2 << 20):
                 raw, at = utf8(part.column(text))
-                own = part.column("_row").to_numpy()
-                lo, hi = np.searchsorted(rows, own), np.searchsorted(rows, own, "right")
+                many, own = side.of(part.column("_row").to_numpy())
+                start, end = (own.column(c).to_numpy() if own is not None else np.zeros(0, np.int64) for c in ("start", "end"))
+                hi = np.cumsum(many)
+                lo = hi - many
                 out = np.zeros((part.num_rows, 3), np.int64)
                 out[:, 0] = np.diff(at)
                 sha = []
@@ -240,6 +237,5 @@ def digests(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
 
 @query("op5_windows")
 def op5_windows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "_row", F.monotonically_increasing_id()).withColumn("_ord", F.coalesce("doc_id", F.lit(2**63 - 1)))
+    docs = number_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("_ord", F.coalesce("doc_id", F.lit(2**63 - 1)))
     return digests(docs, repeated_spans(docs))
