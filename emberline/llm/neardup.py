@@ -26,11 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from emberline.llm.common import land, pieces, schema_of, table, utf8
+from emberline.llm import paragraphs
+from emberline.llm.common import land, link_groups, pieces, schema_of, table, utf8
 from emberline.llm.registry import query
 from emberline.operators.clusters import components
 
 SHINGLE, SEED, LINK_BITS = 3, 42, 2
+#: What the pipeline's stage links, by Jaccard of five-word shingles; op2's fingerprints don't tell it.
+SIMILARITY = 0.8
 #: Byte value -> eight byte lanes holding its bits.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
 
@@ -115,15 +118,33 @@ def component_ids(printed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rooted.join(mins, "_root").select("_fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Keep one row of each component: the one with the smallest id (of repeated rows, the first)."""
-    printed = land(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), text), "simhash-docs")
-    labelled = printed.select(id_col, "_row", "_fp").join(component_ids(printed, id_col), "_fp")
-    kept = labelled.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select("_fp", "component_id", "_row")
-    # A component without any id is named by nothing else than its null: those rows are kept per fingerprint.
-    per = F.when(F.col("component_id").isNull(), F.col("_fp"))
-    winners = kept.groupBy("component_id", per.alias("_only")).agg(F.min("_row").alias("_row")).select("_row")
-    return printed.join(winners, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+def similar_groups(rows: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
+    """(_row, group) of stored ``rows`` (_row, text): components of texts whose sets of five-word shingles are that similar.
+
+    Each text is one paragraph of ``paragraphs``: candidates from its MinHash bands
+    and its exact prefix filter, links by exact Jaccard.  Texts of under five words
+    have one shingle, so only equal ones are linked; those without a word are one group.
+    """
+    flat = rows.select("_row", F.translate(text, "\n", " ").alias(text))
+    found = land(paragraphs.paragraph_bands(flat, text, 1), "neardup-bands")
+    reps = found.groupBy("k1", "k2").agg(F.min("_row").alias("first_row"), F.count(F.lit(1)).alias("copies"), F.min("n_words").alias("n_words"),
+                                         *[F.min(f"b{i}").alias(f"b{i}") for i in range(paragraphs.BANDS)])
+    reps = land(reps.withColumn("pid", F.monotonically_increasing_id()), "neardup-reps")
+    longer = reps.filter(F.col("n_words") >= paragraphs.SHINGLE)
+    roots = link_groups(land(paragraphs.similar_links(flat, longer, similarity, text, 1), "neardup-links"))
+    named = reps.select("pid", "k1", "k2").join(roots, F.col("pid") == F.col("node"), "left")
+    named = named.select("k1", "k2", F.coalesce("component", "pid").alias("group"))
+    worded = found.select("_row", "k1", "k2").join(named, ["k1", "k2"]).select("_row", "group")
+    return rows.select("_row").join(worded, "_row", "left").select("_row", F.coalesce("group", F.lit(-1)).alias("group"))
+
+
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Keep one row of each group of similar texts: the one with the smallest id (of repeated rows, the first)."""
+    rows = land(docs.withColumn("_row", F.monotonically_increasing_id()), "neardup-docs")
+    placed = rows.select(F.col(f"`{id_col}`").alias("_id"), "_row").join(similar_groups(rows, similarity, text), "_row")
+    # A null id is the least wanted.
+    first = placed.groupBy("group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
+    return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op2_simhash")
