@@ -16,7 +16,7 @@ def query(key: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     import corpus_pipeline
-    from emberline.llm import (ann, binary_ids, codebooks, importance, langid, mixture, neardup, packing, paragraphs, quality,  # noqa: F401
+    from emberline.llm import (ann, binary_ids, codebooks, importance, langid, lattice, mixture, neardup, packing, paragraphs, quality,  # noqa: F401
                                toxicity, windows)
     QUERIES["pipeline"] = Query("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
     return QUERIES
