@@ -322,7 +322,7 @@ def look_up(docs: DataFrame, frequent: list, sums: list[str], id_col: str, text:
                 kinds, width = code.indices.to_numpy(zero_copy_only=False), len(code.dictionary) + 1
                 spot = pc.fill_null(pc.index_in(code.dictionary, value_set=hot), -1).to_numpy()[kinds] if len(kinds) else kinds
                 seen = spot >= 0
-                total = [np.bincount(owner[seen], x[spot[seen]], part.num_rows) for x in values]
+                total = [np.bincount(owner[seen], x[spot[seen]], part.num_rows).astype(np.float64) for x in values]     # of nothing: ints
                 pair, times = np.unique(owner[~seen].astype(np.int64) * width + kinds[~seen], return_counts=True)
                 offsets = pa.array(np.searchsorted(pair // width, np.arange(part.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
