@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import edge_crossing, haversine, segment_distance
-from emberline.operators.proximity import LAT, LON, _closest, candidates, locations
+from emberline.operators.boxes import near_items
+from emberline.operators.proximity import LAT, LON, _closest, locations
 
 BAND = 0.05      # degrees of latitude per edge band
 _BOX_STEP = 0.05
@@ -108,7 +109,7 @@ def distance_to_classes(events: DataFrame, landcover: DataFrame, edges: DataFram
     wanted = landcover.filter(F.col("class").isin(list(classes.values()))).select("geom_id", "class")
     chosen = edges.join(wanted, "geom_id")
     spots = locations(events)
-    near = (candidates(spots, _as_items(chosen, ["class"]), ["class"])
+    near = (near_items(spots, _as_items(chosen, ["class"]), ["class"])
             .withColumn("_d", segment_distance(LAT, LON, "x1", "y1", "x2", "y2"))
             .groupBy(LAT, LON, "class").agg(F.min("_d").alias("_d")))
     inside = (containing(spots, chosen.drop("class")).join(wanted, "geom_id")
@@ -133,7 +134,7 @@ def nearest_geometry(events: DataFrame, facilities: DataFrame, edges: DataFrame)
     sides = _as_items(edges.drop("ord").join(owners, "geom_id"), ["ord"])
     items = points.unionByName(sides).withColumn("_g", F.lit(0))
     spots = locations(events)
-    near = candidates(spots, items, ["_g"]).withColumn("distance_m", F.when(
+    near = near_items(spots, items, ["_g"]).withColumn("distance_m", F.when(
         F.col("x1").isNull(), haversine(LAT, LON, "lat", "lon")).otherwise(
         segment_distance(LAT, LON, "x1", "y1", "x2", "y2"))).select(LAT, LON, "ord", "distance_m")
     inside = (containing(spots, edges).join(owners, "geom_id")

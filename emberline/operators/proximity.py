@@ -1,6 +1,6 @@
 """Distance joins between detections and reference points.
 
-Both joins are equi-joins on grid cells.  Detections are first reduced to their
+Joins inside a radius are equi-joins on grid cells, joins without one descend trees of boxes (``boxes``).  Detections are first reduced to their
 distinct coordinates (all results depend on the coordinates only), so repeated
 detections of one source, however many, cost one row; the result is joined back
 so that every input row is kept exactly once.
@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.functions.geo import (EARTH_RADIUS_M, arc_degrees, haversine, with_cell,
-                                     with_cells_in_reach)
+from emberline.functions.geo import EARTH_RADIUS_M, arc_degrees, haversine, with_cell, with_cells_in_reach
+from emberline.operators.boxes import near_items
 
 LAT, LON = "latitude", "longitude"
 
@@ -107,89 +107,6 @@ def within_radius(events: DataFrame, facilities: DataFrame, radius_m: float) ->
 
 # ---------------------------------------------------------- unbounded nearest
 
-_BASE_STEP = 0.02          # degrees; finest candidate grid
-_LEVELS = 14               # 0.02 * 2**13 = 164 degrees: the top level reaches half the globe
-
-
-def _step_of(level: Column) -> Column:
-    return F.lit(_BASE_STEP) * F.pow(F.lit(2.0), level)
-
-
-def _levels(df: DataFrame, lat: str, lon: str) -> DataFrame:
-    """One row per grid level with the cell of that level."""
-    out = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1))))
-    out = out.withColumn("_step", _step_of(F.col("level")))
-    return with_cell(out, lat, lon, F.col("_step"))
-
-
-def _level_for(reach_deg: Column) -> Column:
-    """Lowest level whose cells are at least as wide as the reach."""
-    level = F.ceil(F.log2(F.greatest(reach_deg, F.lit(_BASE_STEP)) / F.lit(_BASE_STEP)))
-    return F.least(F.greatest(level, F.lit(0)), F.lit(_LEVELS - 1)).cast("int")
-
-
-def candidates(points: DataFrame, items: DataFrame, group: list[str], extended: bool = True) -> DataFrame:
-    """For every point and group, a set of items sure to hold the nearest one.
-
-    ``items``: lat, lon (centre), ``reach_m`` (how far the item extends from its
-    centre, 0 for points), the group columns and payload; ``extended=False``
-    promises that all reaches are 0.  Work is done per
-    occupied fine cell of the points, not per point:
-
-    1. an upper bound ``bound_m`` on the distance from the cell centre, from one
-       representative item per coarse cell at every grid level;
-    2. all items whose extent comes within ``bound_m`` plus the cell diameter,
-       looked up at the one grid level whose cells match that reach.
-
-    Nothing is cut off: whatever the distance, a level of the right size exists.
-    """
-    cells = with_cell(points, LAT, LON, _BASE_STEP, "fy", "fx")
-    low_lat = F.when(F.col("_a") * F.col("_b") <= 0, F.lit(0.0)).otherwise(F.least(F.abs("_a"), F.abs("_b")))
-    # Members lie within half_m of the centre: half the way along a meridian, then along a parallel.
-    half = F.lit(EARTH_RADIUS_M * 1.001 / 2) * (
-        F.radians(F.col("_b") - F.col("_a")) + F.cos(F.radians(low_lat)) * F.radians(F.col("_d") - F.col("_c"))) + 0.01
-    occupied = (cells.groupBy("fy", "fx").agg(F.min(LAT).alias("_a"), F.max(LAT).alias("_b"),
-                                              F.min(LON).alias("_c"), F.max(LON).alias("_d"))
-                .select("fy", "fx", ((F.col("_a") + F.col("_b")) / 2).alias("c_lat"),
-                        ((F.col("_c") + F.col("_d")) / 2).alias("c_lon"), half.alias("half_m")))
-
-    at_level = _levels(items, "lat", "lon")
-    reps = (at_level.groupBy("level", "cy", "cx", *group)
-            .agg(F.min_by(F.struct("lat", "lon", "reach_m"), F.struct("reach_m", "lat", "lon")).alias("_rep"),
-                 F.first("_step").alias("_step")))
-    reps = reps.select(*group, "level", F.col("_rep.lat").alias("r_lat"), F.col("_rep.lon").alias("r_lon"),
-                       F.col("_rep.reach_m").alias("r_reach"), "_step")
-    spread = with_cells_in_reach(reps, "r_lat", "r_lon", F.col("_step"), F.col("_step")).drop("_step")
-    climbed = _levels(occupied, "c_lat", "c_lon").drop("_step")
-    bound = (climbed.join(spread, ["level", "cy", "cx"])
-             .withColumn("_ub", haversine("c_lat", "c_lon", "r_lat", "r_lon") + F.col("r_reach"))
-             .groupBy("fy", "fx", *group)
-             .agg(F.min("_ub").alias("bound_m"), F.first("c_lat").alias("c_lat"),
-                  F.first("c_lon").alias("c_lon"), F.first("half_m").alias("half_m")))
-
-    # Items are classed by extent so that a few long ones do not widen every search.
-    extent = F.degrees(F.col("reach_m") / EARTH_RADIUS_M)
-    size_class = F.when(F.col("reach_m") == 0, F.lit(-1)).otherwise(_level_for(extent))
-    present = [-1]
-    if extended:
-        present = sorted(r[0] for r in items.select(size_class.alias("k")).distinct().collect())  # at most 15 numbers
-    class_step = F.when(F.col("size_class") < 0, F.lit(0.0)).otherwise(_step_of(F.col("size_class")))
-    search = (bound.withColumn("size_class", F.explode(F.array(*[F.lit(k) for k in present or [-1]])))
-              .withColumn("_reach", F.degrees((F.col("bound_m") + 2 * F.col("half_m")) / EARTH_RADIUS_M) * 1.000001
-                          + class_step)
-              .withColumn("level", _level_for(F.col("_reach")))
-              .withColumn("_step", _step_of(F.col("level"))))
-    search = with_cells_in_reach(search, "c_lat", "c_lon",
-                                 F.least(F.col("_reach"), F.lit(180.0)), F.col("_step")).drop("_step", "_reach")
-    classed = at_level.withColumn("size_class", size_class).drop("_step")
-    payload = [c for c in items.columns if c not in group]
-    found = (search.join(classed, ["level", "cy", "cx", "size_class", *group])
-             .filter(haversine("c_lat", "c_lon", "lat", "lon") - F.col("reach_m")
-                     <= (F.col("bound_m") + 2 * F.col("half_m")) * 1.000001 + 0.01)
-             .select("fy", "fx", *group, *payload))
-    return cells.join(found, ["fy", "fx"])
-
-
 def nearest_points(events: DataFrame, items: DataFrame, payload: list[str], group: list[str],
                    radius: float = EARTH_RADIUS_M) -> DataFrame:
     """Nearest point item per distinct event coordinate and group: a struct column ``best``.
@@ -201,11 +118,12 @@ def nearest_points(events: DataFrame, items: DataFrame, payload: list[str], grou
         "lat", "lon", *group).agg(F.min_by(F.struct("ord", *payload), "ord").alias("_item"))
     first = first.select("lat", "lon", *group, F.col("_item.ord").alias("ord"),
                          *[F.col(f"_item.{p}").alias(p) for p in payload], F.lit(0.0).alias("reach_m"))
-    pairs = candidates(locations(events), first, group, extended=False)
+    pairs = near_items(locations(events), first, group)
     pairs = pairs.withColumn("distance_m", haversine(LAT, LON, "lat", "lon", radius))
-    return pairs.groupBy("fy", "fx", LAT, LON, *group).agg(
+    # The cell is a function of the coordinates: naming it keeps the join's partitioning.
+    return pairs.groupBy("cell", LAT, LON, *group).agg(
         F.min_by(F.struct("distance_m", "ord", *payload), F.struct("distance_m", "ord")).alias("best")
-    ).drop("fy", "fx")
+    ).drop("cell")
 
 
 def nearest(events: DataFrame, facilities: DataFrame) -> DataFrame:
