@@ -20,6 +20,7 @@ COLUMN_ALIASES = {
     "satellite": "satellite", "sat": "satellite", "instrument": "instrument", "sensor": "instrument",
     "daynight": "daynight", "scan": "scan", "track": "track", "version": "version",
 }
+# Column groups of which every input has one.
 REQUIRED_GROUPS = [["latitude", "lat", "y"], ["longitude", "lon", "long", "lng", "x"],
                    ["acq_date", "acq_datetime", "timestamp", "datetime", "date"]]
 # Brightness temperature sources, best first.
@@ -49,11 +50,15 @@ def alias_columns(df: DataFrame) -> DataFrame:
 
 def require_groups(df: DataFrame) -> DataFrame:
     """Raise when latitude, longitude or time cannot be derived from the columns."""
-    missing = [group for group in REQUIRED_GROUPS if not set(group) & set(df.columns)]
+    require_columns(df.columns)
+    return df
+
+
+def require_columns(columns: list[str]) -> None:
+    missing = [group for group in REQUIRED_GROUPS if not set(group) & set(columns)]
     if missing:
         raise SchemaError("missing column(s): " + "; ".join(f"need one of {g}" for g in missing)
-                          + f"; present: {sorted(df.columns)}")
-    return df
+                          + f"; present: {sorted(columns)}")
 
 
 def blank_to_null(c: Column) -> Column:

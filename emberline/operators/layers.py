@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Layer file (without extension, lower case, last words) -> facility type.
-LAYER_TYPES = {"power_plants": "power_plant", "oil_refineries": "oil_refinery", "oil_wells": "oil_well",
-               "ethanol_plants": "ethanol_plant", "wind_farms": "wind_farm", "solar_power_plants": "solar_plant"}
+# Stem of the layer file (after a prefix of the source) -> facility type.
+LAYER_TYPES = {"Power_Plants": "power_plant", "Oil_Refineries": "oil_refinery", "Oil_Wells": "oil_well",
+               "Ethanol_Plants": "ethanol_plant", "Wind_Farms": "wind_farm", "Solar_Power_Plants": "solar_plant"}
 # Power layer -> plant kind.
 POWER_KINDS = {"coal_power_plants": "thermal", "natural_gas_power_plants": "thermal", "diesel_power_plants": "thermal",
                "hydro_power_plants": "hydro", "small_hydro_power_plants": "hydro",

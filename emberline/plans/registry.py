@@ -40,5 +40,5 @@ def great_circle(lat1: str, lon1: str, lat2: str, lon2: str, radius: str = "6371
 
 def load_all() -> dict[str, Query]:
     from emberline.plans import (queries_alerts, queries_clean, queries_clusters, queries_learning,  # noqa: F401
-                                 queries_reports, queries_scoring, queries_spatial, queries_streaming)
+                                 queries_reports, queries_scoring, queries_sources, queries_spatial, queries_streaming)
     return QUERIES

@@ -2,62 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.functions.cleaning import SchemaError, alias_columns, require_groups, to_double
-from emberline.operators.layers import union_layers
+from emberline.functions.cleaning import SchemaError, require_columns, to_double
+from emberline.sources.detection_csv import RANGE_BYTES, DetectionCsv, read_head
+from emberline.sources.files import landed, open_store
 
 
-def read_detections(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
-    """Raw detections as canonical string columns plus ``_file`` and ``_row`` (file order).
+def read_detections(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None,
+                    range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Raw detections as canonical string columns plus ``_file`` and ``_row`` (the byte at which the line begins: file order).
 
     Each file's header line gives its columns and its delimiter (``;`` only when it has no comma);
-    values are trimmed, blanks are NULL, all-blank rows are dropped.  Raises on
-    an empty or header-only input and on missing column groups.
+    files with other headers merge by name.  Values are trimmed, blanks are NULL, all-blank rows are
+    dropped.  Raises on an empty or header-only input and on missing column groups.
     """
-    def reader():
-        r = spark.read.option("recursiveFileLookup", "true") if recursive else spark.read
-        return r.option("pathGlobFilter", pattern) if pattern else r
-
-    # File order without a sort: start of the read block plus the position inside the task (low 33 bits).
-    position = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    lines = reader().text(path).withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.file_block_start") + position})
-    heads = lines.filter(F.trim("value") != "").groupBy("_file").agg(F.min_by("value", "_at").alias("head"))
-    kinds = sorted((r["head"], sorted(r["files"])) for r in heads.groupBy("head").agg(F.collect_list("_file").alias("files")).collect())
-    if not kinds:
-        raise SchemaError(f"input is empty: {path}")
-    parts = [_one_header(spark, head, files, position) for head, files in kinds]
-    out = parts[0] if len(parts) == 1 else union_layers(parts)
+    out = _scan(spark, path, recursive, pattern, range_bytes)
     if out.limit(1).isEmpty():
         raise SchemaError(f"header but no data rows: {path}")
     return out
 
 
-def _one_header(spark: SparkSession, first: str, files: list[str], position: Column) -> DataFrame:
-    """Files that share one header line, and so columns and delimiter."""
-    sep = ";" if ";" in first and "," not in first else ","
-    raw = (spark.read.option("header", "true").option("sep", sep).option("mode", "PERMISSIVE")
-           .option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true")
-           .option("nullValue", "").option("enforceSchema", "false").csv(files))
-    raw = raw.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.file_block_start") + position})
-    typed = require_groups(alias_columns(raw))
-    data = [c for c in typed.columns if c not in ("_file", "_row")]
-    return typed.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in data}).na.drop("all", subset=data)
+def _scan(spark: SparkSession, path: str, recursive: bool, pattern: str | None, range_bytes: int) -> DataFrame:
+    """One scan over all files; only their first bytes are read here."""
+    files = landed(path, recursive, pattern)
+    store, _, _ = open_store(path.rstrip("*"))
+    with ThreadPoolExecutor(32) as pool:
+        heads = [h for h in pool.map(lambda f: read_head(store, f.path), files) if h is not None]
+    if not heads:
+        raise SchemaError(f"input is empty: {path}")
+    kinds = list(dict.fromkeys(tuple(h.columns) for h in heads))
+    for columns in kinds:
+        require_columns(list(columns))
+    wanted = list(dict.fromkeys(c for columns in kinds for c in columns))
+    schema = ", ".join([*[f"`{c.replace('`', '``')}` string" for c in wanted], "_file string", "_row bigint"])
+    spark.dataSource.register(DetectionCsv)
+    reader = spark.read.format(DetectionCsv.name()).schema(schema).option("rangeBytes", range_bytes).option("recursive", str(recursive).lower())
+    return (reader.option("pattern", pattern) if pattern else reader).load(path)
 
 
-def read_chunks(spark: SparkSession, directory: str, pattern: str = "*.csv") -> DataFrame:
+def read_chunks(spark: SparkSession, directory: str, pattern: str = "*.csv", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """All chunk files under a directory as one table; ``source`` is the folder of the file.
 
-    Files with different headers are read per source folder and merged by name.
+    One scan over all of them; files with different headers merge by name.
     """
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-               .load(directory).select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("folder")).distinct())
-    folders = sorted(r[0] for r in listing.collect())      # one entry per source, not per file
-    if not folders:
+    if not landed(directory, True, pattern):
         raise FileNotFoundError(f"no {pattern} under {directory}")
-    parts = [read_detections(spark, f, pattern=pattern) for f in folders]
-    out = union_layers(parts)
+    out = read_detections(spark, directory, True, pattern, range_bytes)
     return out.withColumn("source", F.regexp_extract("_file", "([^/]+)/[^/]+$", 1))
 
 

@@ -8,6 +8,8 @@ read in splits.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +46,23 @@ def features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
             F.array(F.struct(F.lit(None).cast("string").alias("id"), F.lit("Feature").alias("type"), bare.alias("geometry"),
                              F.expr(_NO_PROPS).alias("properties"))))
         rows = text.select("_file", F.posexplode(F.coalesce(many, single)).alias("ord", "f"))
+        rows = _in_file_order(text, rows)
     return rows.select("_file", F.col("ord").cast("long").alias("ord"), F.col("f.id").alias("id"),
                        F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("coordinates"),
                        F.coalesce("f.properties", F.expr(_NO_PROPS)).alias("props"))
 
 
+def _in_file_order(text: DataFrame, rows: DataFrame) -> DataFrame:
+    """Let ``ord`` go on from file to file (by path), so that it names one row of all files."""
+    plain = re.compile("^([a-z0-9]+):/+")                # the two listings write roots differently
+    files = sorted(plain.sub(r"\1:/", f) for f in text.inputFiles())
+    if len(files) < 2:
+        return rows
+    ranks = text.sparkSession.createDataFrame([(f, i << 33) for i, f in enumerate(files)], "_name string, _first long")
+    named = rows.withColumn("_name", F.regexp_replace("_file", plain.pattern, "$1:/"))
+    return named.join(ranks, "_name").withColumn("ord", F.col("_first") + F.col("ord")).drop("_first", "_name")
+
+
 def _rings() -> Column:
     """Coordinates text -> multi -> polygon -> ring -> vertex (a point is one vertex)."""
     point = F.from_json("coordinates", "array<double>")
@@ -84,14 +98,17 @@ def read_geojson_facilities(spark: SparkSession, path: str, lines: bool = False)
         F.col("_c.lon").alias("lon"), "geom_type", "geom", F.col("props").alias("tags"))
 
 
-def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """Point-of-interest elements (nodes by position, ways by centre) as typed facilities, one per type/id."""
+def read_elements(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Point-of-interest elements (nodes by position, ways by centre) as typed facilities, one per type/id; with ``lines`` one a line."""
     doc = F.from_json("value", _DOCUMENT)
     element = ("struct<type:string, id:string, lat:double, lon:double, center:struct<lat:double, lon:double>, "
                "tags:map<string,string>>")
-    rows = (spark.read.text(path, wholetext=True).withColumn("_file", F.col("_metadata.file_path"))
-            .select("_file", F.posexplode(doc["elements"]).alias("ord", "_e"))
-            .select("_file", "ord", F.from_json("_e", element).alias("e")))
+    text = spark.read.text(path, wholetext=not lines).withColumn("_file", F.col("_metadata.file_path"))
+    if lines:
+        rows = text.filter(F.trim("value") != "").select("_file", F.monotonically_increasing_id().alias("ord"), F.col("value").alias("_e"))
+    else:
+        rows = _in_file_order(text, text.select("_file", F.posexplode(doc["elements"]).alias("ord", "_e")))
+    rows = rows.select("_file", "ord", F.from_json("_e", element).alias("e"))
     tags = F.coalesce("e.tags", F.expr(_NO_PROPS))
     out = rows.select(F.col("ord").cast("long").alias("ord"), F.concat_ws("/", "e.type", "e.id").alias("facility_id"),
                       F.try_element_at(tags, F.lit("name")).alias("name"),
@@ -120,29 +137,17 @@ def read_layer(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
     return raw.select("_file", "ord", "geom_type", F.col("_c.lat").alias("lat"), F.col("_c.lon").alias("lon"), "props")
 
 
-def read_typed_layers(spark: SparkSession, directory: str, lines: bool = False) -> DataFrame:
-    """The six infrastructure layers of a directory as one table; the file name decides the type."""
-    titles = {_title(n): k for n, k in LAYER_TYPES.items()}
-
-    def own(name: str) -> DataFrame:
-        """Files of this layer; a longer layer name that ends alike (solar power plants) is another layer."""
-        raw = read_layer(spark, f"{directory}/*{name}.geojson", lines)
-        longer = [t for t in titles if t != name and t.endswith(f"_{name}")]
-        return raw.filter(~F.col("_file").rlike(f"({'|'.join(longer)})\\.geojson$")) if longer else raw
-
-    return layers.union_layers([typed_layer(own(name), kind) for name, kind in titles.items()])
-
-
-def _title(name: str) -> str:
-    return "_".join(w.capitalize() for w in name.split("_"))
+def read_typed_layers(spark: SparkSession, directory: str, lines: bool = False, prefix: str = "") -> DataFrame:
+    """The six infrastructure layers of a directory as one table; the whole file name, less ``prefix``, decides the type."""
+    return layers.union_layers([typed_layer(read_layer(spark, f"{directory}/{prefix}{stem}.geojson", lines), kind) for stem, kind in LAYER_TYPES.items()])
 
 
-def read_boundary(spark: SparkSession, path: str) -> DataFrame:
+def read_boundary(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Edge table of a country boundary; the feature marked IND (or India) is preferred, else the first.
 
     Raises when there is no polygon or a coordinate is outside WGS84 ranges.
     """
-    raw = features(spark, path)
+    raw = features(spark, path, lines)
     preferred = (F.try_element_at("props", F.lit("ISO_A3")) == "IND") | (F.try_element_at("props", F.lit("ADMIN")) == "India")
     chosen = raw.orderBy(F.coalesce(preferred, F.lit(False)).desc(), "ord").limit(1)
     polygon = chosen.filter(F.col("geom_type").isin("Polygon", "MultiPolygon")).select(
@@ -157,12 +162,12 @@ def read_boundary(spark: SparkSession, path: str) -> DataFrame:
     return edges
 
 
-def read_landcover(spark: SparkSession, *paths: str, class_filter: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_landcover(spark: SparkSession, *paths: str, class_filter: str | None = None, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(land-cover table, edge table); several files merge in the given order."""
     parts = []
     for i, path in enumerate(paths):
-        raw = features(spark, path).filter(F.col("geom_type").isin("Polygon", "MultiPolygon"))
-        parts.append(raw.select((F.col("ord") + F.lit(i) * F.lit(1 << 40)).alias("ord"), _rings().alias("geom"),
+        raw = features(spark, path, lines).filter(F.col("geom_type").isin("Polygon", "MultiPolygon"))
+        parts.append(raw.select((F.col("ord") + F.lit(i << 56)).alias("ord"), _rings().alias("geom"),
                                 landcover_class(F.col("props")).alias("class")))
     rows = layers.union_layers(parts).withColumn("geom_id", F.col("ord").cast("string"))
     if class_filter:

@@ -35,14 +35,22 @@ def write_enriched(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_facilities(df: DataFrame, path: str, fmt: str = "geojson") -> None:
-    """GeoJSON features, one per line, or CSV with the tags as a JSON column."""
+    """GeoJSON features, one per line, or CSV with the tags as a JSON column.
+
+    With ``geom`` (multi -> polygon -> ring -> vertex) and ``geom_type``, areas keep
+    their rings; all other rows are points at (lat, lon).
+    """
     if fmt == "geojson":
         props = [c for c in df.columns if c not in ("lat", "lon", "geom", "geom_type")]
-        feature = F.to_json(F.struct(
-            F.lit("Feature").alias("type"),
-            F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"),
-            F.struct(*props).alias("properties")))
-        df.select(feature.alias("value")).write.mode("overwrite").text(path)
+        spot = F.to_json(F.array("lon", "lat"))
+        kind, body = F.lit("Point"), spot
+        if {"geom", "geom_type"} <= set(df.columns):
+            area = F.col("geom_type").isin("Polygon", "MultiPolygon") & F.col("geom").isNotNull()
+            kind = F.when(area, F.col("geom_type")).otherwise(F.lit("Point"))
+            body = F.when(area & (F.col("geom_type") == "Polygon"), F.to_json(F.get("geom", F.lit(0)))).when(area, F.to_json("geom")).otherwise(spot)
+        line = F.concat(F.lit('{"type":"Feature","geometry":{"type":"'), kind, F.lit('","coordinates":'), body,
+                        F.lit('},"properties":'), F.to_json(F.struct(*props)), F.lit("}"))
+        df.select(line.alias("value")).write.mode("overwrite").text(path)
         return
     flat = df.drop("geom")
     if "tags" in flat.columns:

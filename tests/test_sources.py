@@ -75,11 +75,10 @@ def test_landcover_files_merge_in_order(spark, tmp_path):
 
 def test_six_typed_layers(spark, tmp_path):
     for i, (name, kind) in enumerate(layers.LAYER_TYPES.items()):
-        title = "_".join(w.capitalize() for w in name.split("_"))
-        put(tmp_path, f"X_{title}.geojson", {"type": "FeatureCollection", "features": [
+        put(tmp_path, f"X_{name}.geojson", {"type": "FeatureCollection", "features": [
             feature(POINT, plant_name="P", layer="hydro_power_plants", distilla_1="5", ppaccompan="C"),
             feature({"type": "Point", "coordinates": [200, 5]}, plant_name="bad")]})
-    rows = {r["facility_type"]: r for r in geojson.read_typed_layers(spark, str(tmp_path)).collect()}
+    rows = {r["facility_type"]: r for r in geojson.read_typed_layers(spark, str(tmp_path), prefix="X_").collect()}
     assert set(rows) == set(layers.LAYER_TYPES.values())
     assert rows["power_plant"]["power_plant_type"] == "hydro" and rows["oil_refinery"]["capacity"] == "5" and rows["oil_well"]["company"] is None
 
@@ -171,9 +170,9 @@ def test_solar_plants_are_no_power_plants(spark, tmp_path):
     from emberline.operators.layers import LAYER_TYPES
     from emberline.sources.geojson import read_typed_layers
     for i, name in enumerate(LAYER_TYPES):
-        title = "_".join(w.capitalize() for w in name.split("_"))
         doc = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": {"type": "Point", "coordinates": [i, i]}}]}
-        (tmp_path / f"X_{title}.geojson").write_text(json.dumps(doc))
+        (tmp_path / f"{name}.geojson").write_text(json.dumps(doc))
+    (tmp_path / "Old_Oil_Wells.geojson").write_text(json.dumps(doc))          # another layer, not read
     kinds = Counter(r.facility_type for r in read_typed_layers(spark, str(tmp_path)).collect())
     assert kinds == Counter(LAYER_TYPES.values())
 
@@ -183,3 +182,29 @@ def test_rows_without_position_keep_a_null_cluster(spark):
     rows = [(1, 10.0, 20.0), (2, 10.0001, 20.0), (3, None, 20.0)]
     got = assign_clusters(spark.createDataFrame(rows, "event_id long, latitude double, longitude double"), 500.0).collect()
     assert sorted((r.event_id, r.cluster_id) for r in got) == [(1, 1), (2, 1), (3, None)]
+
+
+def test_generated_ids_differ_between_files(spark, tmp_path):
+    for name in "ab":
+        put(tmp_path, f"{name}.geojson", {"type": "FeatureCollection", "features": [feature(POINT, industrial="oil"), feature(POINT, industrial="steel")]})
+    rows = geojson.read_geojson_facilities(spark, str(tmp_path)).collect()
+    assert len({r["facility_id"] for r in rows}) == len({r["ord"] for r in rows}) == 4
+    lines = "\n".join(json.dumps({"type": "node", "id": i, "lat": 1.0, "lon": 2.0, "tags": {}}) for i in (1, 2, 2))
+    assert geojson.read_elements(spark, put(tmp_path, "l.json", lines), lines=True).count() == 2
+
+
+def test_ranges_of_one_file_give_the_rows_of_the_whole(spark, tmp_path):
+    import random
+    rng = random.Random(1)
+    body = ["\ufefflat , LON,acq_date,frp,power,n;ote\r"]
+    for i in range(400):
+        body.append(rng.choice([f"{i},2,2024-01-01,{i % 7 or ''},8,\u00e9{'n' * rng.randint(0, 90)}\r", f" {i} , 2 ,2024-01-01,,,", "", "  ", ",,,,,", f"{i},3,2024-01-02", f'{i},4,2024-01-03,"5",6,"a, b",more']))
+    path = put(tmp_path, "d.csv", "\n".join(body))
+    cols = ["latitude", "frp", "acq_date", "n;ote", "longitude", "_file", "_row"]
+    whole = sorted(detections.read_detections(spark, path).select(*[f"`{c}`" for c in cols]).collect())
+    assert len(whole) == sum(1 for b in body[1:] if b.strip() and b.strip("\r") != ",,,,,")
+    assert {r["frp"] for r in whole} >= {"8", "1", "5", None}        # two sources of one column: the first that is there
+    for size in (197, 5000):
+        cut = detections.read_detections(spark, path, range_bytes=size)
+        assert cut.rdd.getNumPartitions() > 1
+        assert sorted(cut.select(*[f"`{c}`" for c in cols]).collect()) == whole
