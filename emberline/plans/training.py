@@ -23,7 +23,10 @@ CATEGORICAL = ["satellite", "daynight"]
 
 
 def training_dataset(events: DataFrame, daynight_lookup: DataFrame | None = None, id_col: str = "event_id") -> DataFrame:
-    """The fixed 32 columns plus the clustering id column; history is the table itself, strictly earlier only."""
+    """The fixed 32 columns plus the clustering id column; history is the table itself, strictly earlier only.
+
+    One row in, one row out: a row without a position has no cluster and NULL cluster columns.
+    """
     out = enrichment.temporal_context(daynight(time_features(events), daynight_lookup))
     out = out.withColumns({"persistence": F.col("persistence_score"), "facility_current_activity": F.col("current_activity"),
                            "facility_anomaly": F.col("activity_anomaly")})
@@ -31,8 +34,8 @@ def training_dataset(events: DataFrame, daynight_lookup: DataFrame | None = None
     stats = clustered.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("cluster_size_500"), F.countDistinct(F.to_date("ts")).alias("distinct_dates"),
         F.floor((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 86_400_000_000).cast("long").alias("span_days"))
-    member = clustered.select(id_col, "cluster_id").join(stats, "cluster_id")
-    out = weak_label(out.join(member, id_col))
+    member = clustered.select(id_col, "cluster_id").join(stats, "cluster_id", "left")
+    out = weak_label(out.join(member, id_col, "left"))
     out = out.withColumn("label_reasons", F.concat_ws(",", "label_reasons"))
     return out.select(*([id_col] if id_col not in COLUMNS else []), *COLUMNS)
 
