@@ -139,7 +139,6 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_I
         store, root = store_of(folder)
         store.create_dir(root, recursive=True)
         made, chunks, doc_ids, sizes, held = [], [], [], [], 0
-        gc.disable()
 
         def close() -> None:
             nonlocal held
@@ -158,17 +157,21 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_I
             chunks.clear(), doc_ids.clear(), sizes.clear()
             held = 0
 
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                for doc_id, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    ids = coder.encode(t or "") + end
-                    chunks.append(ids)
-                    doc_ids.append(doc_id)
-                    sizes.append(len(ids))
-                    held += len(ids)
-                    if held >= FILE_BYTES or len(doc_ids) >= FILE_DOCS:
-                        close()
-        close()
+        gc.disable()            # the encoder's maps hold no cycles
+        try:
+            for batch in batches:
+                for part in pieces(batch, "text"):
+                    for doc_id, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                        ids = coder.encode(t or "") + end
+                        chunks.append(ids)
+                        doc_ids.append(doc_id)
+                        sizes.append(len(ids))
+                        held += len(ids)
+                        if held >= FILE_BYTES or len(doc_ids) >= FILE_DOCS:
+                            close()
+            close()
+        finally:
+            gc.enable()
         yield pa.RecordBatch.from_arrays([pa.array([m[j] for m in made], t) for j, t in enumerate(
             (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=["task", "file", "docs", "ids", "path"])
 
@@ -193,7 +196,9 @@ def read_ids(files: DataFrame) -> DataFrame:
                     [pa.array(doc_ids, pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return based.repartition("path").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # A stated number: the list is tiny, and merged partitions would leave all files to one task.
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return based.repartition(tasks, "path").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 @query("op6_elias_fano")

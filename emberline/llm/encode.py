@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
-#: Chunks a worker remembers before it starts anew.
-REMEMBERED = 800_000
+#: Chunks and words a worker remembers before it starts anew, their bytes, and the longest it remembers.
+REMEMBERED, REMEMBERED_BYTES, LONGEST = 1_200_000, 24 << 20, 64
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Chunks whose normal form is at most their lower case, without the apostrophe of contractions.
 _SIMPLE = re.compile(f"[!-&(-~{_LETTERS[6:]}]+")
@@ -52,19 +54,36 @@ class Encoder:
         #: Runs of letters, of digits and of other signs in simple chunks; the lower-casing vocabulary takes digits singly.
         digits = "[0-9]" if len(self.whole("11")) > len(self.whole("1")) else "[0-9]+"
         self.runs = re.compile(f" ?[{_LETTERS}]+| ?{digits}| ?[^ 0-9{_LETTERS}]+")
+        self.word = re.compile(f"[{_LETTERS}]+")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.mark = self.blank.translate(_MARKS)
         self.known: dict[str, bytes | None] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = 0           # bytes of both
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, getattr(self, "dtype", np.dtype("<u4"))).tobytes()
 
+    def _ids(self, marked: str) -> bytes:
+        ids = array(self.code, [t.id for t in self.model.tokenize(marked)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def _part(self, word: str) -> bytes:
         found = self.parts.get(word)
         if found is None:
-            marked = word.encode().decode("latin-1").translate(_MARKS)
-            found = self.parts[word] = np.array([t.id for t in self.model.tokenize(marked)], self.dtype).tobytes()
+            found = self._ids(word.encode().decode("latin-1").translate(_MARKS))
+            if len(word) <= LONGEST:
+                self.parts[word] = found
+                self.held += len(word) + len(found)
         return found
 
+    def _plain(self, word: str) -> bytes:
+        """Ids of a chunk of letters only, which is one word."""
+        word = word.lower() if self.lower else word
+        return self._ids(self.mark + word if word.isascii() else (self.blank + word).encode().decode("latin-1").translate(_MARKS))
+
     def _chunk(self, chunk: str, before: str) -> bytes | None:
         """Ids of a chunk; None if the text around it has to be encoded whole."""
         if not chunk or _ODD.search(chunk):
@@ -85,11 +104,12 @@ class Encoder:
         for s in self.specials:
             if s in text:
                 return self.whole(text)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) + len(self.parts) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.known.clear()
             self.parts.clear()
+            self.held = 0
         chunks = text.split(" ")
-        known = self.known
+        known, word = self.known, self.word
         if self.blank:
             first = self._chunk(chunks[0], "")
             chunks = chunks[1:]
@@ -101,11 +121,12 @@ class Encoder:
                 if out[i] is None:
                     ids = known.get(c)
                     if ids is None:
-                        ids = self._chunk(c, self.blank)
+                        ids = self._plain(c) if word.fullmatch(c) else self._chunk(c, self.blank)
                         if ids is None:
                             return self.whole(text)
-                        if "\n" not in c:
+                        if len(c) <= LONGEST and "\n" not in c:
                             known[c] = ids
+                            self.held += len(c) + len(ids)
                     out[i] = ids
         return self.whole(text) if first is None else first + b"".join(out)
 
