@@ -29,6 +29,8 @@ from emberline.llm.common import BYTE_KEYS, IS_SPACE, land, link_groups, mix, nu
 from emberline.llm.registry import query
 
 LEAST_WORDS, SHINGLE, SIMILARITY = 10, 5, 0.8
+#: Bytes of text that are hashed at once; the arrays beside them take about 100 times as much.
+PIECE_BYTES = 1 << 18
 BANDS, ROWS = 10, 3
 #: The 64-bit words of the bitmap of a shingle set.
 MAPS = [f"m{i}" for i in range(16)]
@@ -102,7 +104,7 @@ def paragraph_bands(docs: DataFrame, text: str = "text", least_words: int = LEAS
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text, 2 << 20):
+            for part in pieces(batch, text, PIECE_BYTES):
                 found = Paragraphs(*utf8(part.column(text)), least_words)
                 if not len(found.n_words):
                     continue
@@ -127,7 +129,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", least_w
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text, 2 << 20):
+            for part in pieces(batch, text, PIECE_BYTES):
                 found = Paragraphs(*utf8(part.column(text)), least_words)
                 hashes, at = found.shingles()
                 ends = np.append(at[1:], len(hashes))

@@ -38,6 +38,8 @@ from emberline.llm.common import BYTE_KEYS, Beside, land, lay_beside, mix, numbe
 from emberline.llm.registry import query
 
 WINDOW, GRAM = 100, 24
+#: Bytes of text that are hashed at once; the arrays beside them take about 100 times as much.
+PIECE_BYTES = 1 << 18
 #: Windows of a part in the passes after the first.
 WIDTHS = (8, 1)
 _M = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -130,7 +132,7 @@ def run_rows(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataF
     """
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text, 2 << 20):
+            for part in pieces(batch, text, PIECE_BYTES):
                 raw, at = utf8(part.column(text))
                 doc, anchor, first, last, gram = anchored_runs(raw, at, window)
                 run = (first - at[doc]) << 16 | (anchor - first) << 8 | (last - first)
@@ -154,7 +156,7 @@ def parts_of_runs(docs: DataFrame, runs: DataFrame, width: int, window: int = WI
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = Beside(folder)
         for batch in batches:
-            for part in pieces(batch, text, 2 << 20):
+            for part in pieces(batch, text, PIECE_BYTES):
                 many, own = side.of(part.column("_row").to_numpy())
                 if own is None:
                     continue
@@ -210,7 +212,7 @@ def digests(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = Beside(folder)
         for batch in batches:
-            for part in pieces(batch, text, 2 << 20):
+            for part in pieces(batch, text, PIECE_BYTES):
                 raw, at = utf8(part.column(text))
                 many, own = side.of(part.column("_row").to_numpy())
                 start, end = (own.column(c).to_numpy() if own is not None else np.zeros(0, np.int64) for c in ("start", "end"))
