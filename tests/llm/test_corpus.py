@@ -53,6 +53,66 @@ def test_quality_counts(spark, doc_dir, doc_rows):
     assert got.filter("not base_failed and not kept").count() <= 3
 
 
+def test_clean_texts_of_any_language_stay(spark, doc_rows):
+    """A language that no fixed list knows, at any length, with or without enough text for a reference; junk in ordinary letters goes."""
+    rng = random.Random(9)
+    names = ["".join(rng.choice("klmnoprstuvaei") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+
+    def prose_of(n):
+        return " ".join(rng.choice(["qo", "ti", "sam", "vul", "ne"]) if rng.random() < 0.35 else rng.choice(names) for _ in range(n))
+    rows = [(i, prose_of(n), "xx", n) for i, n in enumerate(rng.choice([60, 100, 319, 320, 800]) for _ in range(80))]
+    rows += [(1000 + i, prose_of(n), "yy", n) for i, n in enumerate([100, 320])]          # too little text for a reference
+    junk = [(2000 + i, " ".join("".join(rng.choice("aeionrtls") for _ in range(7)) for _ in range(n)), "xx", n) for i, n in enumerate([150, 400, 900])]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, n int").repartition(3)
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert all(got[r[0]].kept for r in rows), [(r[2:], got[r[0]].word_distance) for r in rows if not got[r[0]].kept]
+    assert not any(got[r[0]].kept for r in junk)
+    assert set(quality.learn_words(df)) >= {"qo", "ti", "sam", "vul", "ne"}
+
+
+def test_verdict_equals_plain_version(spark, doc_rows):
+    """The distances and the verdict from dictionaries of counts."""
+    df = spark.createDataFrame([(r[0], r[1], r[2]) for r in doc_rows], "doc_id long, text string, lang string").repartition(4)
+    common = quality.learn_words(df)
+    got = quality.judge(df).collect()
+    def chars(t):
+        h = np.zeros(quality.CLASSES)
+        for b in (t or "").encode():
+            k = quality._CLASS[b]
+            if k < quality.CLASSES:
+                h[k] += 1
+        return h
+    def words(t):
+        c = Counter((t or "").encode().split())
+        h = [c.pop(w.encode(), 0) for w in common]
+        return np.array([*h, sum(c.values())], float)
+    def distance(h, r):
+        p, q = h / h.sum(), r / r.sum()
+        m = (p + q) / 2
+        return np.sqrt(max(0, sum(x * np.log2(x / y) for x, y in zip(p, m) if x) + sum(x * np.log2(x / y) for x, y in zip(q, m) if x)) / 2)
+    rows = [(r.text, r.lang, r.base_failed, r) for r in got]
+    def refs(use):
+        out = {}
+        for lang in {r[1] for r in rows if r[1]}:
+            own = [r for r in rows if r[1] == lang and not r[2] and use(r)]
+            c, w = sum((chars(r[0]) for r in own), np.zeros(quality.CLASSES)), sum((words(r[0]) for r in own), np.zeros(len(common) + 1))
+            if c.sum() >= quality.REFERENCE_CHARS:
+                out[lang] = (c, w)
+        return out
+    def nearest(h, some, k):
+        return min((distance(h, r[k]) for r in some.values()), default=None) if h.sum() else None
+    first = refs(lambda r: True)
+    second = refs(lambda r: (d := nearest(chars(r[0]), first, 0)) is not None and d <= quality.TRIM)
+    for t, lang, failed, r in rows:
+        bad = False
+        for h, k, n, bins, (least, limit, widen), seen in ((chars(t), 0, chars(t).sum(), quality.CLASSES, quality.CHAR_RULE, r.char_distance),
+                                                           (words(t), 1, len((t or "").split()), len(common) + 1, quality.WORD_RULE, r.word_distance)):
+            d = nearest(h, second, k)
+            assert (seen is None) == (d is None) and (d is None or abs(d - seen) < 1e-6)
+            bad |= d is not None and n >= least and d > limit + widen * np.sqrt(bins / (n + 1)) / 2
+        assert r.kept == (not failed and not (bad and (lang is None or lang in second)))
+
+
 def test_js_distance():
     ref = np.array([2.0, 1.0, 1.0, 0.0])
     got = quality.js_distance(np.array([[4.0, 2, 2, 0], [0, 0, 0, 5], [0, 0, 0, 0]]), ref)
