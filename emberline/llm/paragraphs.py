@@ -1,18 +1,25 @@
-"""Substring dedup by paragraphs: MinHash bands, exact Jaccard, components.
-
-A paragraph is a line with at least ``LEAST_WORDS`` words (shorter lines are left
-alone).  Equal paragraphs are collapsed first.  Each distinct paragraph has
-``BANDS`` bands of ``ROWS`` minima over its five-word shingles: at similarity 0.8
-a pair meets in some band with probability 1 - (1 - 0.8^3)^10 = 0.9992.  In a band
-bucket every paragraph is first compared with the most frequent one.  Those that
-don't match it meet the other members by an exact prefix filter: only pairs that
-share one of their rarest shingles can reach the similarity, and a bitmap of each
-set tells inside that join how many shingles at least are not shared.  Verified links form
-components; of each, the first occurrence in the table stays.
+"""Substring dedup by paragraphs: MinHash bands, exact Jaccard, components; and passages inside of paragraphs.
+
+A paragraph is a line with at least ``LEAST_WORDS`` words.  Equal paragraphs are
+collapsed first.  Each distinct paragraph has ``BANDS`` bands of ``ROWS`` minima over
+its five-word shingles: at similarity 0.8 a pair meets in some band with probability
+1 - (1 - 0.8^3)^10 = 0.9992.  In a band bucket every paragraph is first compared with
+the most frequent one.  Those that don't match it meet the other members by an exact
+prefix filter: only pairs that share one of their rarest shingles can reach the
+similarity, and a bitmap of each set tells inside that join how many shingles at least
+are not shared.  Verified links form components; of each, the first occurrence in the
+table stays.
+
+A passage that is wrapped otherwise, or stands inside a longer line, is no paragraph of
+its own.  So the whole text is also cut into pieces at places that its words decide
+(where a word pair's hash is the least among the ``REACH`` pairs on both sides), whatever
+the line breaks: inside a repeated passage, beyond ``REACH`` words from its ends, the
+cuts are the same everywhere.  A piece that stood earlier in the table is repeated, and
+consecutive repeated pieces of ``LEAST_RUN`` words or more go; shorter repetitions stay.
 
 Defined cases: null and empty texts have no paragraph and stay as they are;
 repeated rows are separate documents, the later ones lose their paragraphs; ties
-go to the earlier row, then the earlier line; an empty table gives an empty
+go to the earlier row, then the earlier place; an empty table gives an empty
 result; other columns are kept and may have any name but ``_row``.
 """
 
@@ -25,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import BYTE_KEYS, IS_SPACE, land, link_groups, mix, number_rows, pieces, powers, table, utf8
+from emberline.llm.common import BYTE_KEYS, IS_SPACE, clean_name, land, link_groups, mix, number_rows, pieces, powers, table, utf8
 from emberline.llm.registry import query
 
-LEAST_WORDS, SHINGLE, SIMILARITY = 10, 5, 0.8
+LEAST_WORDS, SHINGLE, SIMILARITY = 25, 5, 0.8
+#: Word pairs on each side of a cut that it is compared with, least words of consecutive repeated pieces.
+REACH, LEAST_RUN = 6, 16
 #: Bytes of text that are hashed at once; the arrays beside them take about 100 times as much.
 PIECE_BYTES = 1 << 18
 BANDS, ROWS = 10, 3
@@ -44,6 +53,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
 
+def _keys(words: np.ndarray, start: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each run of words that follow one another."""
+    if not len(n_words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.arange(len(words)) - np.repeat(start, n_words)
+    top = int(n_words.max()) + 1
+    return tuple(mix(np.add.reduceat(words * powers(k, top)[place], start)).view(np.int64) for k in (_K1, _K2))
+
+
 class Paragraphs:
     """The paragraphs of a batch of texts: where they are, their keys, and their shingle hashes."""
 
@@ -69,21 +87,67 @@ class Paragraphs:
         place = np.arange(len(body)) - np.repeat(starts, lengths)
         weight = powers(_M, int(lengths.max(initial=0)) + 1)
         words = mix(np.add.reduceat(BYTE_KEYS[body] * weight[place], starts)) if len(starts) else np.zeros(0, np.uint64)
+        #: Of all words: hash, document, and first byte; lead bytes before each byte.
+        self.all_words, self.word_doc, self.word_at = words, doc, word_at
+        self.raw, self.text_at = raw, at
         # Only the lines with enough words.
         use = n_words >= least_words
         keep = np.repeat(use, n_words)
         self.words, self.n_words = words[keep], n_words[use]
         self.doc = doc[first][use]
+        self.word = first[use]                                      # the first word of each
         self.line = (line[first] - before[at[doc[first]]])[use]     # counted from the document's start
         self.start = np.concatenate([[0], np.cumsum(self.n_words)[:-1]]).astype(np.int64) if len(self.n_words) else np.zeros(0, np.int64)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of each paragraph's words in order."""
-        if not len(self.n_words):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = np.arange(len(self.words)) - np.repeat(self.start, self.n_words)
-        top = int(self.n_words.max()) + 1
-        return tuple(mix(np.add.reduceat(self.words * powers(k, top)[place], self.start)).view(np.int64) for k in (_K1, _K2))
+        return _keys(self.words, self.start, self.n_words)
+
+    def line_spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """First character of each paragraph's line and the one after its line break, from the document's start."""
+        breaks = np.flatnonzero(self.raw == 10)
+        here = self.word_at[self.word]
+        own, last = self.text_at[self.doc], self.text_at[self.doc + 1]
+        k = np.searchsorted(breaks, here)
+        padded = np.concatenate([[-1], breaks, [len(self.raw)]])
+        return self._characters(np.maximum(padded[k] + 1, own), own), self._characters(np.minimum(padded[k + 1] + 1, last), own)
+
+    def _characters(self, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+        leads = np.concatenate([[0], np.cumsum((self.raw & 0xC0) != 0x80)])
+        return leads[at] - leads[own]
+
+    def pieces(self, reach: int = REACH) -> dict[str, np.ndarray]:
+        """The content-defined pieces: doc, number in it, n_words, two hashes, first character and the one after the last."""
+        words, doc = self.all_words, self.word_doc
+        n = len(words)
+        follows = np.zeros(n, np.uint64)
+        if n:
+            follows[:-1] = np.where(doc[1:] == doc[:-1], words[1:], np.uint64(0))
+        value = mix(words * np.uint64(_K1) + follows * np.uint64(_K2))
+        # Documents stand ``reach`` places apart, so that none decides on another's cuts.
+        rank = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) if n else np.zeros(0, np.int64)
+        spot = np.arange(n) + (rank + 1) * reach
+        wide = np.full(n + (int(rank[-1]) + 2 if n else 1) * reach + 1, np.iinfo(np.uint64).max)
+        wide[spot] = value
+        least_before, least_after = np.full(n, np.iinfo(np.uint64).max), np.full(n, np.iinfo(np.uint64).max)
+        for j in range(1, reach + 1):
+            least_before, least_after = np.minimum(least_before, wide[spot - j]), np.minimum(least_after, wide[spot + j])
+        new = (value < least_before) & (value <= least_after)
+        if n:
+            new[0] = True
+            new[1:] |= doc[1:] != doc[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, n))
+        k1, k2 = _keys(words, first, size)
+        own_doc = doc[first]
+        begins = np.searchsorted(own_doc, own_doc, "left")                     # the first piece of the same document
+        start = self.word_at[first]
+        stop = np.append(start[1:], 0)
+        last = np.append(own_doc[1:] != own_doc[:-1], True) if len(first) else np.zeros(0, bool)
+        stop[last] = self.text_at[own_doc[last] + 1]
+        own = self.text_at[own_doc]
+        return {"doc": own_doc, "piece": np.arange(len(first)) - begins, "n_words": size, "k1": k1, "k2": k2,
+                "at": self._characters(start, own), "till": self._characters(stop, own)}
 
     def shingles(self, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all word shingles and each paragraph's first one; every paragraph has at least one."""
@@ -99,8 +163,8 @@ class Paragraphs:
 
 
 def paragraph_bands(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per paragraph of ``docs`` (_row, text): _row, line, n_words, k1, k2 and its band hashes b0, b1, ..."""
-    names = ["_row", "line", "n_words", "k1", "k2", *[f"b{i}" for i in range(BANDS)]]
+    """One row per paragraph of ``docs`` (_row, text): _row, line, n_words, its characters, k1, k2 and its band hashes b0, b1, ..."""
+    names = ["_row", "line", "n_words", "at", "till", "k1", "k2", *[f"b{i}" for i in range(BANDS)]]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,11 +179,11 @@ def paragraph_bands(docs: DataFrame, text: str = "text", least_words: int = LEAS
                     least = np.minimum.reduceat(hashes * _A[i] + _B[i], at)
                     bands[i // ROWS] = (bands[i // ROWS] + least) * np.uint64(_K2) + np.uint64(i)
                 arrays = [rows, pa.array(found.line.astype(np.int32)), pa.array(found.n_words.astype(np.int32)),
-                          *[pa.array(k) for k in found.keys()], *[pa.array(mix(b.copy()).view(np.int64)) for b in bands]]
+                          *[pa.array(x) for x in found.line_spans()], *[pa.array(k) for k in found.keys()], *[pa.array(mix(b.copy()).view(np.int64)) for b in bands]]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return docs.select("_row", text).mapInArrow(
-        measure, "_row bigint, line int, n_words int, k1 bigint, k2 bigint, " + ", ".join(f"b{i} bigint" for i in range(BANDS)))
+        measure, "_row bigint, line int, n_words int, at bigint, till bigint, k1 bigint, k2 bigint, " + ", ".join(f"b{i} bigint" for i in range(BANDS)))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -221,7 +285,7 @@ def _prefix_pairs(items: DataFrame, similarity: float) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """Lines to remove from stored ``docs`` (_row, text): (_row, line, keep_row), keep_row holding the copy that stays."""
+    """Lines to remove from stored ``docs`` (_row, text): (_row, line, at, till, keep_row), keep_row holding the copy that stays."""
     found = land(paragraph_bands(docs, text, least_words), "paragraphs")
     reps = found.groupBy("k1", "k2").agg(F.min("_row").alias("first_row"), F.count(F.lit(1)).alias("copies"),
                                          *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
@@ -231,10 +295,55 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str =
     repeated = land(grouped.filter("copies > 1 or node is not null")
                     .select("k1", "k2", "first_row", F.coalesce("component", "pid").alias("class")), "paragraph-classes")
     keep = repeated.groupBy("class").agg(F.min("first_row").alias("keep_row"))
-    placed = land(found.select("_row", "line", "k1", "k2").join(repeated.join(keep, "class").drop("first_row"), ["k1", "k2"])
-                  .select("_row", "line", "class", "keep_row"), "paragraph-places")
+    placed = land(found.select("_row", "line", "at", "till", "k1", "k2").join(repeated.join(keep, "class").drop("first_row"), ["k1", "k2"])
+                  .select("_row", "line", "at", "till", "class", "keep_row"), "paragraph-places")
     stays = placed.filter("_row = keep_row").groupBy("class").agg(F.min("line").alias("keep_line"))
-    return placed.join(stays, "class").filter("_row <> keep_row or line <> keep_line").select("_row", "line", "keep_row")
+    return placed.join(stays, "class").filter("_row <> keep_row or line <> keep_line").select("_row", "line", "at", "till", "keep_row")
+
+
+def repeated_passages(docs: DataFrame, text: str = "text", reach: int = REACH, least_run: int = LEAST_RUN) -> DataFrame:
+    """Runs of repeated pieces to remove from stored ``docs``: (_row, piece, at, till, keep_row) of each piece."""
+    names = {"_row": "bigint", "piece": "int", "n_words": "int", "at": "bigint", "till": "bigint", "k1": "bigint", "k2": "bigint"}
+    kinds = {"bigint": pa.int64(), "int": pa.int32()}
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, text, PIECE_BYTES):
+                found = Paragraphs(*utf8(part.column(text))).pieces(reach)
+                found["_row"] = part.column("_row").take(pa.array(found["doc"]))
+                yield pa.RecordBatch.from_arrays([pa.array(found[c], kinds[t]) if c != "_row" else found[c] for c, t in names.items()], names=list(names))
+
+    cut = land(docs.select("_row", text).mapInArrow(measure, ", ".join(f"{c} {t}" for c, t in names.items())).filter(f"n_words >= {SHINGLE}"), "passage-pieces")
+    first = cut.groupBy("k1", "k2").agg(F.min("_row").alias("keep_row"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    known = land(cut.join(first.drop("n"), ["k1", "k2"]), "passage-repeated")
+    stays = known.filter("_row = keep_row").groupBy("k1", "k2").agg(F.min("piece").alias("keep_piece"))
+    again = known.join(stays, ["k1", "k2"]).filter("_row <> keep_row or piece <> keep_piece")
+    # Pieces of one document that follow one another; its pieces are bounded by its length.
+    numbered = again.withColumn("_run", F.col("piece") - F.row_number().over(Window.partitionBy("_row").orderBy("piece")))
+    long = numbered.withColumn("_words", F.sum("n_words").over(Window.partitionBy("_row", "_run")))
+    return long.filter(F.col("_words") >= least_run).select("_row", "piece", "at", "till", "keep_row")
+
+
+def removals(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
+    """What goes from stored ``docs`` (_row, text): (_row, line or piece, at, till, keep_row); the spans may overlap."""
+    lines = duplicate_lines(docs, similarity, text).select("_row", "line", F.lit(None).cast("int").alias("piece"), "at", "till", "keep_row")
+    parts = repeated_passages(docs, text).select("_row", F.lit(None).cast("int").alias("line"), "piece", "at", "till", "keep_row")
+    return lines.unionByName(parts)
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the sorted spans (at, till)."""
+    state = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("kept"))
+
+    def step(s: Column, span: Column) -> Column:
+        kept = F.when(span["at"] > s["pos"], F.concat(s["kept"], F.array(F.struct(s["pos"].alias("a"), span["at"].alias("b"))))).otherwise(s["kept"])
+        return F.struct(F.greatest(s["pos"], span["till"]).alias("pos"), kept.alias("kept"))
+
+    def finish(s: Column) -> Column:
+        return F.concat(s["kept"], F.array(F.struct(s["pos"].alias("a"), F.length(text).cast("bigint").alias("b"))))
+
+    spans = F.aggregate(gone, state, step, finish)
+    return F.array_join(F.transform(spans, lambda x: F.substring(text, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int"))), "")
 
 
 def with_rows(docs: DataFrame, stored: bool) -> DataFrame:
@@ -243,27 +352,28 @@ def with_rows(docs: DataFrame, stored: bool) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", stored: bool = False) -> DataFrame:
-    """Take the repeated paragraphs out of the texts; rows left without a word are dropped."""
+    """Take the repeated paragraphs and passages out of the texts; rows left without a word are dropped."""
     rows = with_rows(docs, stored)
-    gone = (duplicate_lines(rows.select("_row", text), similarity, text).groupBy("_row")
-            .agg(F.array_sort(F.collect_set("line")).alias("_gone")).withColumnRenamed("_row", "_r"))       # lines of one document
-    lines = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    out = rows.join(gone, F.col("_row") == F.col("_r"), "left")
-    left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
-    return (out.withColumn(text, left).filter(F.col("_gone").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    spans, own = clean_name(rows, "_spans"), clean_name(rows, "_own")
+    gone = (removals(rows.select("_row", text), similarity, text).groupBy("_row")
+            .agg(F.array_sort(F.collect_set(F.struct("at", "till"))).alias(spans)).withColumnRenamed("_row", own))       # spans of one document
+    out = rows.join(gone, F.col("_row") == F.col(own), "left")
+    left = F.when(F.col(spans).isNull(), F.col(text)).otherwise(_without(F.col(text), F.col(spans)))
+    return (out.withColumn(text, left).filter(F.col(spans).isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 @query("op4_paragraphs")
 def op4_paragraphs(spark, sf_dir):
-    """Per document: how many paragraphs go, which lines, and the documents that hold the copies that stay."""
+    """Per document: how many paragraphs and pieces of passages go, which, and the documents that hold the copies that stay."""
     docs = with_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), stored=True)
-    gone = land(duplicate_lines(docs), "paragraph-gone")
+    gone = land(removals(docs), "paragraph-gone")
     ids = docs.select("_row", "doc_id")
     named = gone.join(ids.select(F.col("_row").alias("keep_row"), F.col("doc_id").alias("kept_in")), "keep_row")
-    per = named.groupBy("_row").agg(F.array_sort(F.collect_set("line")).alias("removed_lines"),
+    per = named.groupBy("_row").agg(F.array_sort(F.collect_set("line")).alias("removed_lines"), F.array_sort(F.collect_set("piece")).alias("removed_pieces"),
                                     F.array_sort(F.collect_set("kept_in")).alias("kept_in"))
+    none = F.array().cast("array<int>")
     return ids.join(per, "_row", "left").select(
-        "doc_id", F.coalesce(F.size("removed_lines"), F.lit(0)).alias("n_removed"),
-        F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"),
+        "doc_id", F.coalesce(F.size("removed_lines") + F.size("removed_pieces"), F.lit(0)).alias("n_removed"),
+        F.coalesce("removed_lines", none).alias("removed_lines"), F.coalesce("removed_pieces", none).alias("removed_pieces"),
         F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"))

@@ -174,10 +174,78 @@ def test_paragraphs(spark, doc_dir, doc_rows):
     assert sum(map(len, want.values())) > 20
     kept = paragraphs.deduplicate(spark.read.parquet(f"{doc_dir}/documents.parquet"), stored=True)
     assert kept.columns == spark.read.parquet(f"{doc_dir}/documents.parquet").columns
-    left = Counter(line for r in kept.collect() for line in set((r.text or "").split("\n")) if len(TOKEN.findall(line)) >= 10)
+    left = Counter(line for r in kept.collect() for line in set((r.text or "").split("\n")) if len(TOKEN.findall(line)) >= paragraphs.LEAST_WORDS)
     assert max(left.values()) == 1
 
 
+def pieces_of(text):
+    """Words and characters of each content-defined piece of one text, cut on its own."""
+    import pyarrow as pa
+
+    from emberline.llm.common import utf8
+    found = paragraphs.Paragraphs(*utf8(pa.array([text], pa.string()))).pieces()
+    out = []
+    for n, a, b in zip(found["n_words"].tolist(), found["at"].tolist(), found["till"].tolist()):
+        part = (text or "")[a:b]
+        words = tuple("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in TOKEN.findall(part))
+        assert len(words) == n
+        out.append((words, a, b))
+    assert sum((w for w, _, _ in out), ()) == tuple("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in TOKEN.findall(text or ""))
+    return out
+
+
+def test_passages_equal_plain_version(spark, doc_rows):
+    order = [(i, r[1]) for i, r in enumerate(doc_rows)]
+    seen, want = {}, []
+    for row, text in order:
+        cut = pieces_of(text)
+        again = []
+        for k, (words, a, b) in enumerate(cut):
+            if len(words) < paragraphs.SHINGLE:
+                continue
+            if words in seen:
+                again.append((k, a, b, seen[words], len(words)))
+            else:
+                seen[words] = row
+        runs = []
+        for x in again:
+            if runs and runs[-1][-1][0] == x[0] - 1:
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        want += [(row, k, a, b, keep) for run in runs if sum(x[4] for x in run) >= paragraphs.LEAST_RUN for k, a, b, keep, _ in run]
+    docs = spark.createDataFrame(order, "_row long, text string").repartition(5)
+    got = paragraphs.repeated_passages(docs).collect()
+    assert sorted((r._row, r.piece, r["at"], r.till, r.keep_row) for r in got) == sorted(want) and len(want) > 20
+
+
+def test_passages_are_caught_however_they_are_wrapped(spark):
+    rng = random.Random(12)
+
+    def words(n):
+        return ["".join(rng.choice("abcdefghilmnoprstuvé") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    rows, planted, clean = [], {}, []
+    common = " ".join(words(9))
+    for k in range(40):
+        passage = words(rng.randint(52, 75))
+        forms = [" ".join(passage), "\n".join(" ".join(passage[i:i + 9]) for i in range(0, len(passage), 9)), "\n".join(passage)]
+        for j in range(3):
+            before, after = " ".join(words(rng.randint(5, 80))), " ".join(words(rng.randint(5, 80)))
+            rows.append((len(rows), f"{before} {forms[j]} {after}"))
+            planted[rows[-1][0]] = (j, passage, before, after)
+        clean.append(len(rows))
+        rows.append((len(rows), " ".join(words(rng.randint(60, 200))) + "\n" + common + "\n" + " ".join(words(30))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    left = {r.doc_id: r.text for r in paragraphs.deduplicate(docs).collect()}
+    texts = dict(rows)
+    later = [i for i, p in planted.items() if p[0] > 0]
+    assert np.mean([left[i] != texts[i] for i in later]) >= 0.95
+    for i in later:
+        _, passage, before, after = planted[i]
+        assert set(TOKEN.findall(before) + TOKEN.findall(after)) <= set(TOKEN.findall(left[i]))      # only the passage goes
+    assert all(left[i] == texts[i] for i in [*clean, *[i for i, p in planted.items() if p[0] == 0]])
+
+
 def test_paragraph_rest_path(spark):
     """Members of a bucket that miss the most frequent one still find each other."""
     rng = np.random.default_rng(0)
