@@ -306,14 +306,27 @@ def repeated_passages(docs: DataFrame, text: str = "text", reach: int = REACH, l
     names = {"_row": "bigint", "piece": "int", "n_words": "int", "at": "bigint", "till": "bigint", "k1": "bigint", "k2": "bigint"}
     kinds = {"bigint": pa.int64(), "int": pa.int32()}
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[str, np.ndarray]]]:
         for batch in batches:
             for part in pieces(batch, text, PIECE_BYTES):
                 found = Paragraphs(*utf8(part.column(text))).pieces(reach)
-                found["_row"] = part.column("_row").take(pa.array(found["doc"]))
-                yield pa.RecordBatch.from_arrays([pa.array(found[c], kinds[t]) if c != "_row" else found[c] for c, t in names.items()], names=list(names))
+                yield part, {c: x[found["n_words"] >= SHINGLE] for c, x in found.items()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in found_in(batches):
+            keys, n = np.unique(found["k1"], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["k1", "n"])
 
-    cut = land(docs.select("_row", text).mapInArrow(measure, ", ".join(f"{c} {t}" for c, t in names.items())).filter(f"n_words >= {SHINGLE}"), "passage-pieces")
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in found_in(batches):
+            found["_row"] = part.column("_row").take(pa.array(found["doc"]))
+            yield pa.RecordBatch.from_arrays([pa.array(found[c], kinds[t]) if c != "_row" else found[c] for c, t in names.items()], names=list(names))
+
+    # Most pieces stand once: the text is read twice instead of storing them all.
+    rows = docs.select("_row", text)
+    often = rows.mapInArrow(count, "k1 bigint, n bigint").groupBy("k1").agg(F.sum("n").alias("n")).filter("n > 1").select("k1")
+    found = rows.mapInArrow(measure, ", ".join(f"{c} {t}" for c, t in names.items()))
+    cut = land(found.join(land(often, "passage-keys"), "k1", "left_semi"), "passage-pieces")
     first = cut.groupBy("k1", "k2").agg(F.min("_row").alias("keep_row"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     known = land(cut.join(first.drop("n"), ["k1", "k2"]), "passage-repeated")
     stays = known.filter("_row = keep_row").groupBy("k1", "k2").agg(F.min("piece").alias("keep_piece"))
