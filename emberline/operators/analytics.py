@@ -318,3 +318,11 @@ def activity_7d(events: DataFrame, facilities: DataFrame, key: str = "facility_i
             .agg(_n("detections")))
     return calendar.join(seen, [key, "date"], "left").select(
         key, "date", F.coalesce("detections", F.lit(0)).cast("long").alias("detections"))
+
+
+def multiplicity_difference(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (by ``columns``) that don't occur equally often in both, with ``before``, ``after``: one aggregate, NULLs equal."""
+    one, none = F.lit(1), F.lit(0)
+    signed = before.select(*columns, one.alias("_before"), none.alias("_after")).unionByName(after.select(*columns, none.alias("_before"), one.alias("_after")))
+    return (signed.groupBy(*columns).agg(F.sum("_before").alias("before"), F.sum("_after").alias("after"))
+            .filter("before <> after"))

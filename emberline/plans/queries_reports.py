@@ -289,3 +289,17 @@ def missing_chunks(spark, sf):
     out = coverage.missing_chunks(coverage.chunk_calendar(spans, 1), landed.withColumnRenamed("chunk_date", "chunk_start"))
     return out.select("source", F.col("chunk_start").cast("string").alias("chunk_start"))
 
+
+
+@query("row_multiplicity", """with e as (select satellite from fx_detection union all select satellite from fx_detection where event_id%10=0)
+select satellite, count(*) as rows_in, count(*) as rows_out, 0 as differing from e group by 1""", "fx_detection")
+def row_multiplicity(spark, sf):
+    """The enrichment keeps every input row exactly as often as it came, repeated rows included."""
+    from emberline.plans.enrich import enrich
+    own = view(spark, sf, "fx_detection")
+    before = own.unionByName(own.filter("event_id % 10 = 0")).drop("site", "conf_code", "bright_ti5")
+    after = enrich(before, fac(spark, sf))
+    columns = before.columns
+    wrong = analytics.multiplicity_difference(before, after, columns).groupBy("satellite").agg(F.count(F.lit(1)).alias("differing"))
+    counts = before.groupBy("satellite").agg(F.count(F.lit(1)).alias("rows_in")).join(after.groupBy("satellite").agg(F.count(F.lit(1)).alias("rows_out")), "satellite", "full")
+    return counts.join(wrong, "satellite", "left").select("satellite", "rows_in", "rows_out", F.coalesce("differing", F.lit(0)).alias("differing"))

@@ -31,3 +31,13 @@ def test_rows_without_a_cluster_stay_in_splits_and_training(spark):
     assert [(r.cluster_id, r.split) for r in split if r.event_id == 20] == [(None, "test")]
     made = training_dataset(events).filter(F.col("event_id").isNotNull())
     assert made.count() == 21 and made.filter("event_id = 20 and cluster_size_500 is null").count() == 1
+
+
+def test_multiplicity_difference_counts_rows(spark):
+    from emberline.operators.analytics import multiplicity_difference
+    kind = "id long, name string"
+    before = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "c")], kind)
+    after = spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (3, "c"), (4, "d")], kind)
+    got = sorted((r.id, r.before, r.after) for r in multiplicity_difference(before, after, ["id", "name"]).collect())
+    assert got == [(1, 2, 1), (3, 1, 2), (4, 0, 1)]
+    assert multiplicity_difference(before, before, ["id", "name"]).isEmpty()
