@@ -1,38 +1,112 @@
 """Joins against polygon edge tables ``(geom_id, ord, poly, ring, x1, y1, x2, y2)``.
 
 x is longitude, y is latitude; ring 0 is the exterior, other rings are holes.
-A ray crossing is decided per edge and summed, and only edges whose latitude
-band holds the point are joined, so cost follows the edges on the point's
-parallel, not all edges of the geometry.
+Rings are closed.  Each geometry is covered by grid cells of its own scale, and
+a point meets the pieces of its cell only: the edges that pass through it, and
+what all edges further east add to an eastward ray, which is known beforehand.
+A point in a cell without edges meets no edge at all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import edge_crossing, haversine, segment_distance
 from emberline.operators.boxes import near_items
 from emberline.operators.proximity import LAT, LON, _closest, locations
 
-BAND = 0.05      # degrees of latitude per edge band
-_BOX_STEP = 0.05
-_BOX_LEVELS = 14
+_FINEST = -20    # cells are 2**level degrees wide, at least about 0.1 m
+_PAD = 1e-9      # degrees; above the rounding error of an edge's longitude at a latitude
+_FLAT = 1e-11    # degrees; flatter edges are tested in all cells of their rows
 
 
-def _bands(edges: DataFrame) -> DataFrame:
+def _grid(level: str, lat: str, lon: str) -> tuple[Column, Column]:
+    """(row, column) on the grid of the level; steps are powers of two, so both are exact."""
+    step = F.pow(F.lit(2.0), F.col(level))
+    return F.floor(F.col(lat) / step).cast("long"), F.floor(F.col(lon) / step).cast("long")
+
+
+def _usable(edges: DataFrame) -> DataFrame:
+    """Edges an eastward ray can cross: not level, all coordinates known."""
+    return edges.select("geom_id", "poly", "ring", "x1", "y1", "x2", "y2").filter(
+        "y1 <> y2 and x1 + x2 is not null and not isnan(x1 + x2 + y1 + y2)")
+
+
+def _levels(edges: DataFrame) -> DataFrame:
+    """(geom_id, _w, _e, level): a geometry of n edges gets about n cells, so its cover grows with its edges."""
+    boxes = edges.groupBy("geom_id").agg(
+        F.min(F.least("x1", "x2")).alias("_w"), F.max(F.greatest("x1", "x2")).alias("_e"),
+        (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("_h"), F.count(F.lit(1)).alias("_n"))
+    wide = F.greatest(F.col("_e") - F.col("_w"), F.col("_h")) / F.sqrt("_n")
+    return boxes.select("geom_id", "_w", "_e", F.greatest(F.ceil(F.log2(wide)), F.lit(_FINEST)).cast("int").alias("level"))
+
+
+def _rows_of_edges(edges: DataFrame) -> DataFrame:
+    """Each edge once per grid row it meets, with the columns ``a`` to ``b`` it can pass there."""
+    edges = _usable(edges)
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    return edges.filter("y1 <> y2").withColumn(
-        "band", F.explode(F.sequence(F.floor(low / BAND).cast("long"), F.floor(high / BAND).cast("long"))))
+    rows = (edges.join(_levels(edges), "geom_id").withColumn("_step", F.pow(F.lit(2.0), F.col("level")))
+            .withColumn("cy", F.explode(F.sequence(F.floor(low / F.col("_step")).cast("long"),
+                                                   F.floor(high / F.col("_step")).cast("long"))))
+            .withColumns({"_low": F.col("cy") * F.col("_step"), "_top": (F.col("cy") + 1) * F.col("_step")}))
 
+    def x_at(y: Column) -> Column:
+        y = F.least(F.greatest(y, low), high)
+        return F.col("x1") + (F.col("x2") - F.col("x1")) * ((y - F.col("y1")) / (F.col("y2") - F.col("y1")))
 
-def _band_of() -> Column:
-    return F.floor(F.col(LAT) / BAND).cast("long")
+    rows = rows.withColumns({"_p": x_at(F.col("_low")), "_q": x_at(F.col("_top"))})
+    pad = F.lit(_PAD) + 4e-12 * F.abs(F.col("x1") - F.col("x2")) / F.abs(F.col("y1") - F.col("y2"))
+    flat = high - low < _FLAT
+    west = F.when(flat, F.col("_w")).otherwise(F.least("_p", "_q") - pad)
+    east = F.when(flat, F.col("_e")).otherwise(F.greatest("_p", "_q") + pad)
+    return rows.withColumns({"a": F.floor(west / F.col("_step")).cast("long"), "b": F.floor(east / F.col("_step")).cast("long")})
 
 
-def _inside(crossings: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys whose crossings place the point in some polygon's exterior and in none of its holes."""
-    rings = (crossings.filter(edge_crossing(LAT, LON, "x1", "y1", "x2", "y2"))
+_PIECE = ["level", "cy", "cx", "geom_id", "poly", "ring", "y", "x1", "y1", "x2", "y2"]
+
+
+def cover(edges: DataFrame) -> DataFrame:
+    """Pieces of each geometry by cell ``(level, cy, cx)``; the ray of a point in the cell crosses
+
+    * an edge (``x1 .. y2``) if ``edge_crossing`` says so,
+    * a level piece (``y``; infinite for the whole cell) if the point lies below it.
+
+    Edges east of a cell are crossed wherever they span the latitude, whatever
+    the longitude: each end above the point counts once.  Ends at one height of
+    one ring are sorted by the column their edge begins in, and every second gap
+    between them is a run of cells where an odd number of them is left.
+    """
+    rows = _rows_of_edges(edges)
+    nothing = F.lit(None).cast("double")
+    tested = rows.withColumns({"cx": F.explode(F.sequence("a", "b")), "y": nothing})
+    ends = (rows.withColumn("y", F.explode(F.array("y1", "y2"))).filter("y > _low")
+            .withColumn("y", F.when(F.col("y") >= F.col("_top"), F.lit(float("inf"))).otherwise(F.col("y"))))
+    heights = Window.partitionBy("geom_id", "poly", "ring", "level", "cy", "y").orderBy(F.desc("a"))
+    runs = ends.withColumns({"_i": F.row_number().over(heights), "_from": F.lead("a").over(heights)}).withColumn(
+        "_from", F.coalesce("_from", F.floor(F.col("_w") / F.col("_step")).cast("long")))
+    levels = (runs.filter("_i % 2 = 1 and _from < a").withColumn("cx", F.explode(F.sequence(F.col("_from"), F.col("a") - 1)))
+              .withColumns({c: nothing for c in ("x1", "y1", "x2", "y2")}))
+    return tested.select(*_PIECE).unionByName(levels.select(*_PIECE))
+
+
+def met_pieces(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """Points (latitude, longitude) beside the pieces of their cells."""
+    pieces = cover(edges)
+    used = sorted(r[0] for r in _levels(_usable(edges)).select("level").distinct().collect())   # at most 29 numbers
+    spots = points.select(LAT, LON).withColumn("level", F.explode(F.array(*[F.lit(k) for k in used or [0]])))
+    cy, cx = _grid("level", LAT, LON)
+    return spots.withColumns({"cy": cy, "cx": cx}).join(pieces, ["level", "cy", "cx"])
+
+
+def containing(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(latitude, longitude, geom_id) for every geometry that contains the point.
+
+    The point is in some polygon's exterior ring and in none of its holes.
+    """
+    keys = [LAT, LON, "geom_id"]
+    crossed = F.coalesce(F.col("y") > F.col(LAT), edge_crossing(LAT, LON, "x1", "y1", "x2", "y2"))
+    rings = (met_pieces(points, edges).filter(crossed)
              .groupBy(*keys, "poly", "ring").agg((F.count(F.lit(1)) % 2).alias("_odd")).filter("_odd = 1"))
     return (rings.groupBy(*keys, "poly").agg(F.min("ring").alias("_out"), F.max("ring").alias("_hole"))
             .filter("_out = 0 and _hole = 0").select(*keys).distinct())
@@ -40,8 +114,7 @@ def _inside(crossings: DataFrame, keys: list[str]) -> DataFrame:
 
 def inside_boundary(events: DataFrame, edges: DataFrame) -> DataFrame:
     """Add ``inside`` (boolean) for one boundary; malformed coordinates count as outside."""
-    spots = locations(events).withColumn("band", _band_of())
-    hits = _inside(spots.join(_bands(edges), "band"), [LAT, LON])
+    hits = containing(locations(events), edges.withColumn("geom_id", F.lit(0))).select(LAT, LON)
     return events.join(hits.withColumn("_in", F.lit(True)), [LAT, LON], "left").select(
         *events.columns, F.coalesce("_in", F.lit(False)).alias("inside"))
 
@@ -52,36 +125,6 @@ def clip(events: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flagged.filter("inside").drop("inside"), flagged.filter("not inside").drop("inside")
 
 
-def _box_cells(edges: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Bounding boxes on a grid of their own scale: at most 3 x 3 cells per geometry."""
-    boxes = edges.groupBy("geom_id").agg(
-        F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"),
-        F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("n"))
-    extent = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"), F.lit(_BOX_STEP))
-    level = F.least(F.ceil(F.log2(extent / _BOX_STEP)), F.lit(_BOX_LEVELS)).cast("int")
-    boxes = boxes.withColumn("level", level)
-    step = F.lit(_BOX_STEP) * F.pow(F.lit(2.0), F.col("level"))
-
-    def span(low: str, high: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(low) / step).cast("long"), F.floor(F.col(high) / step).cast("long")))
-
-    levels = sorted(r[0] for r in boxes.select("level").distinct().collect())   # at most 15 numbers
-    return boxes.withColumn("by", span("s", "n")).withColumn("bx", span("w", "e")), levels
-
-
-def containing(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(latitude, longitude, geom_id) for every geometry that contains the point."""
-    boxes, levels = _box_cells(edges)
-    spots = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels or [0]])))
-    step = F.lit(_BOX_STEP) * F.pow(F.lit(2.0), F.col("level"))
-    spots = (spots.withColumn("by", F.floor(F.col(LAT) / step).cast("long"))
-             .withColumn("bx", F.floor(F.col(LON) / step).cast("long")))
-    maybe = (spots.join(boxes, ["level", "by", "bx"])
-             .filter(F.col(LON).between(F.col("w"), F.col("e")) & F.col(LAT).between(F.col("s"), F.col("n")))
-             .select(LAT, LON, "geom_id", _band_of().alias("band")))
-    return _inside(maybe.join(_bands(edges), ["geom_id", "band"]), [LAT, LON, "geom_id"])
-
-
 def landcover_of(events: DataFrame, landcover: DataFrame, edges: DataFrame) -> DataFrame:
     """Add ``landcover_class``: class of the first polygon in list order that holds the point, else unknown."""
     hits = containing(locations(events), edges).join(landcover.select("geom_id", "ord", "class"), "geom_id")
