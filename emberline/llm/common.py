@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyarrow import parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +107,15 @@ def store_of(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def is_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` still tells the file and place of its rows, as ``number_rows`` needs it; a stage's reread input does."""
+    try:
+        docs.metadataColumn("_metadata")
+    except AnalysisException:
+        return False
+    return True
+
+
 def number_rows(docs: DataFrame) -> DataFrame:
     """Add ``_row`` to a file scan: the file's place among the sorted paths, then the row's place in its file.
 
@@ -163,6 +173,19 @@ class Beside:
         return pa.concat_tables([pq.read_table(f, filesystem=store) for f in files])
 
 
+def keep_beside(rows: DataFrame, side: DataFrame, name: str) -> DataFrame:
+    """The stored ``rows`` (_row, ...) whose number is in ``side``, without moving them."""
+    folder = lay_beside(side.select("_row"), name)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beside = Beside(folder)
+        for batch in batches:
+            many, _ = beside.of(batch.column("_row").to_numpy())
+            yield batch.filter(pa.array(many > 0))
+
+    return rows.mapInArrow(choose, schema_of(rows))
+
+
 def link_groups(links: DataFrame) -> DataFrame:
     """(node, component) for every end of ``links`` (a, b); component = smallest id that can be reached.
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from emberline.llm import paragraphs
-from emberline.llm.common import land, link_groups, pieces, schema_of, table, utf8
+from emberline.llm.common import keep_beside, land, link_groups, pieces, schema_of, table, utf8
 from emberline.llm.registry import query
 from emberline.operators.clusters import components
 
@@ -138,13 +138,17 @@ def similar_groups(rows: DataFrame, similarity: float = SIMILARITY, text: str =
     return rows.select("_row").join(worded, "_row", "left").select("_row", F.coalesce("group", F.lit(-1)).alias("group"))
 
 
-def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Keep one row of each group of similar texts: the one with the smallest id (of repeated rows, the first)."""
-    rows = land(docs.withColumn("_row", F.monotonically_increasing_id()), "neardup-docs")
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", id_col: str = "doc_id",
+                stored: bool = False) -> DataFrame:
+    """Keep one row of each group of similar texts: the one with the smallest id (of repeated rows, the first).
+
+    A frame that is read from files as it stands (``stored``) isn't written again.
+    """
+    rows = paragraphs.with_rows(docs, stored)
     placed = rows.select(F.col(f"`{id_col}`").alias("_id"), "_row").join(similar_groups(rows, similarity, text), "_row")
     # A null id is the least wanted.
     first = placed.groupBy("group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
-    return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keep_beside(rows, first.select(F.col("first._row").alias("_row")), "neardup-kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op2_simhash")

@@ -29,10 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import BYTE_KEYS, IS_SPACE, clean_name, land, link_groups, mix, number_rows, pieces, powers, table, utf8
+from emberline.llm.common import (BYTE_KEYS, IS_SPACE, SPACES, Beside, land, lay_beside, link_groups, mix, number_rows, pieces, powers,
+                                  schema_of, table, utf8)
 from emberline.llm.registry import query
 
 LEAST_WORDS, SHINGLE, SIMILARITY = 25, 5, 0.8
@@ -188,26 +190,32 @@ def paragraph_bands(docs: DataFrame, text: str = "text", least_words: int = LEAS
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(pid, shingles, bitmap m0, m1, ...) of the ``wanted`` paragraphs (pid, first_row, k1, k2), read from their documents."""
-    by_row = wanted.groupBy("first_row").agg(F.collect_set(F.struct("k1", "k2", "pid")).alias("asked"))   # lines of one document
-    rows = docs.select("_row", text).join(by_row, F.col("_row") == F.col("first_row")).select(text, "asked")
+    folder = lay_beside(wanted.select(F.col("first_row").alias("_row"), "k1", "k2", "pid"), "paragraph-wanted")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beside = Beside(folder)
         for batch in batches:
-            for part in pieces(batch, text, PIECE_BYTES):
+            many, side = beside.of(batch.column("_row").to_numpy())
+            if side is None:
+                continue
+            named = list(zip(zip(side.column("k1").to_pylist(), side.column("k2").to_pylist()), side.column("pid").to_pylist()))
+            ends_of = np.cumsum(many)
+            asked = [dict(named[e - m:e]) for e, m in zip(ends_of[many > 0].tolist(), many[many > 0].tolist())]
+            for part in pieces(batch.filter(pa.array(many > 0)), text, PIECE_BYTES):
+                here, asked = asked[:part.num_rows], asked[part.num_rows:]
                 found = Paragraphs(*utf8(part.column(text)), least_words)
                 hashes, at = found.shingles()
                 ends = np.append(at[1:], len(hashes))
-                asked = [{(a["k1"], a["k2"]): a["pid"] for a in row} for row in part.column("asked").to_pylist()]
                 pids, sets = [], []
                 for i, (d, k1, k2) in enumerate(zip(found.doc.tolist(), *[k.tolist() for k in found.keys()])):
-                    pid = asked[d].pop((k1, k2), None)
+                    pid = here[d].pop((k1, k2), None)
                     if pid is not None:
                         pids.append(pid)
                         sets.append(np.unique(hashes[at[i]:ends[i]].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int64()), pa.array(sets, pa.list_(pa.int64())), *bitmaps(sets)],
                                                  names=["pid", "shingles", *MAPS])
 
-    return rows.mapInArrow(measure, "pid bigint, shingles array<bigint>, " + ", ".join(f"{m} bigint" for m in MAPS))
+    return docs.select("_row", text).mapInArrow(measure, "pid bigint, shingles array<bigint>, " + ", ".join(f"{m} bigint" for m in MAPS))
 
 
 def bitmaps(sets: list[np.ndarray]) -> list[pa.Array]:
@@ -344,19 +352,13 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text"
     return lines.unionByName(parts)
 
 
-def _without(text: Column, gone: Column) -> Column:
-    """The text without the sorted spans (at, till)."""
-    state = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("kept"))
-
-    def step(s: Column, span: Column) -> Column:
-        kept = F.when(span["at"] > s["pos"], F.concat(s["kept"], F.array(F.struct(s["pos"].alias("a"), span["at"].alias("b"))))).otherwise(s["kept"])
-        return F.struct(F.greatest(s["pos"], span["till"]).alias("pos"), kept.alias("kept"))
-
-    def finish(s: Column) -> Column:
-        return F.concat(s["kept"], F.array(F.struct(s["pos"].alias("a"), F.length(text).cast("bigint").alias("b"))))
-
-    spans = F.aggregate(gone, state, step, finish)
-    return F.array_join(F.transform(spans, lambda x: F.substring(text, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int"))), "")
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans (first character, the one after the last)."""
+    kept, here = [], 0
+    for at, till in sorted(spans):
+        kept.append(text[here:max(at, here)])
+        here = max(here, till)
+    return "".join([*kept, text[here:]])
 
 
 def with_rows(docs: DataFrame, stored: bool) -> DataFrame:
@@ -367,13 +369,26 @@ def with_rows(docs: DataFrame, stored: bool) -> DataFrame:
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", stored: bool = False) -> DataFrame:
     """Take the repeated paragraphs and passages out of the texts; rows left without a word are dropped."""
     rows = with_rows(docs, stored)
-    spans, own = clean_name(rows, "_spans"), clean_name(rows, "_own")
-    gone = (removals(rows.select("_row", text), similarity, text).groupBy("_row")
-            .agg(F.array_sort(F.collect_set(F.struct("at", "till"))).alias(spans)).withColumnRenamed("_row", own))       # spans of one document
-    out = rows.join(gone, F.col("_row") == F.col(own), "left")
-    left = F.when(F.col(spans).isNull(), F.col(text)).otherwise(_without(F.col(text), F.col(spans)))
-    return (out.withColumn(text, left).filter(F.col(spans).isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    spans = removals(rows.select("_row", text), similarity, text).select("_row", "at", "till").distinct()
+    folder, blank = lay_beside(spans, "paragraph-spans"), SPACES.decode()
+
+    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beside = Beside(folder)
+        for batch in batches:
+            many, side = beside.of(batch.column("_row").to_numpy())
+            if side is None:
+                yield batch
+                continue
+            held = list(zip(side.column("at").to_pylist(), side.column("till").to_pylist()))
+            hit, texts, at = many > 0, batch.column(text), batch.schema.get_field_index(text)
+            ends = np.cumsum(many)[hit].tolist()
+            left = [_without(t, held[e - m:e]) for t, e, m in zip(texts.filter(pa.array(hit)).to_pylist(), ends, many[hit].tolist())]
+            keep = ~hit
+            keep[hit] = [bool(t.strip(blank)) for t in left]
+            texts = pc.replace_with_mask(texts, pa.array(hit), pa.array(left, texts.type))
+            yield batch.set_column(at, batch.schema.field(at), texts).filter(pa.array(keep))
+
+    return rows.mapInArrow(trim, schema_of(rows)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op4_paragraphs")
