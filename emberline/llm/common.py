@@ -38,6 +38,11 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Hand texts to Python in small batches: a task holds several copies of a batch, in both processes.  Results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def clean_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` doesn't have yet, for working columns."""
     name = wanted
