@@ -39,8 +39,13 @@ def land(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Hand texts to Python in small batches: a task holds several copies of a batch, in both processes.  Results don't depend on it."""
+    """Read texts and hand them to Python in small batches: a task holds several copies of a batch, in both processes.
+
+    Scans fill their column vectors by as many rows, so that those stay small beside
+    the heap.  Results don't depend on it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", rows)
 
 
 def clean_name(df: DataFrame, wanted: str) -> str:
@@ -175,7 +180,15 @@ class Beside:
         if store.get_file_info(root).type == fs.FileType.NotFound:
             return None
         files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
-        return pa.concat_tables([pq.read_table(f, filesystem=store) for f in files])
+        held = pa.concat_tables([self._read_file(store, f) for f in files])
+        pa.default_memory_pool().release_unused()                      # workers live on: what decoding took goes back
+        return held
+
+    @staticmethod
+    def _read_file(store: fs.FileSystem, path: str) -> pa.Table:
+        """A small file, read by this thread alone: each further thread would keep memory of its own."""
+        with store.open_input_file(path) as file:
+            return pq.ParquetFile(file).read(use_threads=False)
 
 
 def keep_beside(rows: DataFrame, side: DataFrame, name: str) -> DataFrame:
