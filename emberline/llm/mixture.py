@@ -55,45 +55,62 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
 
 
 def mix(docs: DataFrame, size: str = "size", source: str = "source", id_col: str = "doc_id", weights=WEIGHTS,
-        share: float = SHARE, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
+        share: float = SHARE, epochs: float = EPOCHS, seed: str = SEED, sizes: DataFrame | None = None) -> DataFrame:
     """Add source_size, target and taken (how much of the row's size the mix takes, repeats counted).
 
     Every row is taken floor(target / source_size) times; the rest of the target
     is met in seeded order, by whole rows and then by a part of one.  ``docs`` is
-    read several times: pass a stored table.
+    read several times: pass a stored table, and if its rows are wide, ``sizes`` as
+    well, a stored table of their id, source and size.  What a row needs to know is
+    one line per source (its last range in the order), so wide rows aren't moved but
+    for the few of that range.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("-"))).cast("binary"))
-    rows = (docs.withColumn("_s", F.coalesce(F.concat(F.lit("."), F.col(source)), F.lit("/")))
-            .withColumn("_key", key).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS)))
-    narrow = rows.select("_s", "_range", F.col(size).alias("size"))
+
+    def ranged(df: DataFrame) -> DataFrame:
+        key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("-"))).cast("binary"))
+        return (df.withColumn("_s", F.coalesce(F.concat(F.lit("."), F.col(source)), F.lit("/")))
+                .withColumn("_key", key).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS)))
+
+    narrow = ranged(docs if sizes is None else sizes).select("_s", "_range", F.col(size).alias("size"))
     targets = (source_targets(narrow, weights, share, epochs)
                .withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
                .withColumn("_rest", F.floor(F.col("target") - F.col("_whole") * F.col("source_size")))
                .withColumnRenamed("_s", "_t"))
     before = Window.partitionBy("_s").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = land(narrow.groupBy("_s", "_range").agg(F.sum("size").alias("_sum"))
-                  .withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-                  .join(targets, F.col("_s") == F.col("_t"))
-                  .withColumn("_edge", (F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_sum") > F.col("_rest")))
-                  .drop("_t", "_sum"), "mix-ranges")
-    placed = rows.join(ranges, ["_s", "_range"])
-    base = F.col("_whole") * F.col(size)
-    plain = placed.filter("not _edge").withColumn(
-        "taken", base + F.when(F.col("_before") < F.col("_rest"), F.col(size)).otherwise(0))
+    ranges = (narrow.groupBy("_s", "_range").agg(F.sum("size").alias("_sum"))
+              .withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))))
+    # Sums only grow along the order: the ranges that begin below the rest are its first ones, and only the last of them may be cut.
+    last = (ranges.join(targets.select("_t", "_rest"), F.col("_s") == F.col("_t")).filter(F.col("_before") < F.col("_rest"))
+            .withColumn("_cut", F.col("_before") + F.col("_sum") > F.col("_rest"))
+            .groupBy("_s").agg(F.max(F.struct("_range", "_before", "_cut")).alias("_last")))
+    lines = land(targets.join(last, F.col("_s") == F.col("_t"), "left").select(
+        "_t", "source_size", "target", "_whole", "_rest", F.col("_last._range").alias("_to"), F.col("_last._before").alias("_before"),
+        F.coalesce("_last._cut", F.lit(False)).alias("_cut")), "mix-ranges")
+    placed = ranged(docs).join(lines, F.col("_s") == F.col("_t"))
+    base, edge = F.col("_whole") * F.col(size), F.col("_cut") & (F.col("_range") == F.col("_to"))
+    plain = placed.filter(~edge | F.col("_to").isNull()).withColumn(
+        "taken", base + F.when(F.col("_range") <= F.col("_to"), F.col(size)).otherwise(0))
     within = Window.partitionBy("_s", "_range").orderBy("_key", size).rowsBetween(Window.unboundedPreceding, -1)
-    edge = placed.filter("_edge").withColumn("_earlier", F.col("_before") + F.coalesce(F.sum(size).over(within), F.lit(0)))
-    edge = edge.withColumn("taken", base + F.greatest(F.lit(0), F.least(F.col(size), F.col("_rest") - F.col("_earlier"))))
+    partly = placed.filter(edge).withColumn("_earlier", F.col("_before") + F.coalesce(F.sum(size).over(within), F.lit(0)))
+    partly = partly.withColumn("taken", base + F.greatest(F.lit(0), F.least(F.col(size), F.col("_rest") - F.col("_earlier"))))
     columns = [*[F.col(f"`{c}`") for c in docs.columns], "source_size", "target", F.col("taken").cast("long").alias("taken")]
-    return plain.select(*columns).unionByName(edge.select(*columns))
+    return plain.select(*columns).unionByName(partly.select(*columns))
 
 
-def repeat_rows(docs: DataFrame, text: str = "text", **params) -> DataFrame:
-    """The mix itself: each row as often as it is taken; a part of at least half a row counts as the row."""
+def repeat_rows(docs: DataFrame, text: str = "text", stored: bool = False, **params) -> DataFrame:
+    """The mix itself: each row as often as it is taken; a part of at least half a row counts as the row.
+
+    A frame that is read from files as it stands (``stored``) isn't written again; its sizes are.
+    """
     names = docs.columns
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id"), F.col("source"),
                         words_in(text).alias("size"))
+    if stored:
+        params["sizes"] = land(plain.drop("_row"), "mix-sizes")
+    else:
+        plain = land(plain, "mix-docs")
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    return (mix(land(plain, "mix-docs"), **params).withColumn("_n", F.explode(F.sequence(F.lit(0), times))).filter("_n > 0")
+    return (mix(plain, **params).withColumn("_n", F.explode(F.sequence(F.lit(0), times))).filter("_n > 0")
             .select(*[F.col(f"_row.`{c}`").alias(c) for c in names]))
 
 
