@@ -24,7 +24,9 @@ from emberline.session import cut
 
 # Point pairs a single grid cell may produce before the dense way takes over.
 DENSE_PAIRS = 64_000_000
-_FINE = 16          # sub-cells per cell edge on the dense way
+_FINE = 32          # sub-cells per cell edge on the dense way
+# Cells are this many radii wide, so a history row is copied to about four of them.
+_CELL = 2
 
 
 @dataclass(frozen=True)
@@ -84,24 +86,24 @@ def near_counts(events: DataFrame, history: DataFrame, counts: list[NearCount],
     event-side position (for example its facility); history uses
     latitude/longitude/``ts``.
     """
-    radius = max(c.radius_m for c in counts)
-    step = arc_degrees(radius)
+    reach = arc_degrees(max(c.radius_m for c in counts))
+    step = _CELL * reach
     left = _with_vector(with_cell(_points(events, lat, lon, ts), LAT, LON, step), LAT, LON, "")
     right = _points(history, LAT, LON, "ts").select(
         F.col(LAT).alias("h_lat"), F.col(LON).alias("h_lon"), F.col("at").alias("h_at"), F.col("n").alias("h_n"))
     own_cells = with_cell(right, "h_lat", "h_lon", step)
-    right = with_cells_in_reach(_with_vector(right, "h_lat", "h_lon", "h_"), "h_lat", "h_lon", step, step)
+    right = with_cells_in_reach(_with_vector(right, "h_lat", "h_lon", "h_"), "h_lat", "h_lon", reach, step)
 
     finite = all(c.days is not None for c in counts)
+    # Rows copied to cells are many times what Catalyst expects of their files: they are merged, never broadcast.
     cell = ["cy", "cx"]
     if finite:
         # Bounded windows: a time bucket in the key keeps a long archive from meeting itself.
         width = int(max(c.days for c in counts) * DAY_US)
         bucket = F.floor(F.col("h_at") / F.lit(width)).cast("long")
         left = left.withColumn("tb", F.floor(F.col("at") / F.lit(width)).cast("long"))
-        reach = F.sequence(bucket - (1 if symmetric else 0), bucket + 1)
         own_cells = own_cells.withColumn("tb", bucket)
-        right = right.withColumn("tb", F.explode(reach))
+        right = right.withColumn("tb", F.explode(F.sequence(bucket - (1 if symmetric else 0), bucket + 1)))
         cell = [*cell, "tb"]
 
     busy_cells = None
@@ -112,13 +114,13 @@ def near_counts(events: DataFrame, history: DataFrame, counts: list[NearCount],
                          .filter(F.col("_l").cast("double") * F.col("_r") > dense_pairs).select(*cell))
         busy_cells = None if busy_cells.isEmpty() else busy_cells
     point = [LAT, LON, "at"]
-    possible = _any_time(counts, symmetric) & (F.abs(F.col(LAT) - F.col("h_lat")) <= step)
+    possible = _any_time(counts, symmetric) & (F.abs(F.col(LAT) - F.col("h_lat")) <= reach)
     if busy_cells is None:
-        found = _pair_counts(left.join(right, cell).filter(possible),
+        found = _pair_counts(left.join(right.hint("merge"), cell).filter(possible),
                              counts, symmetric, [*cell, *point])
     else:
         calm_l, calm_r = left.join(busy_cells, cell, "left_anti"), right.join(busy_cells, cell, "left_anti")
-        calm = _pair_counts(calm_l.join(calm_r, cell).filter(possible),
+        calm = _pair_counts(calm_l.join(calm_r.hint("merge"), cell).filter(possible),
                             counts, symmetric, [*cell, *point])
         # The busy rows are read several times: written once, they also survive lost executors.
         busy = _dense(cut(left.join(busy_cells, cell, "left_semi")), cut(right.join(busy_cells, cell, "left_semi")),
@@ -204,17 +206,17 @@ def _dense(left: DataFrame, right: DataFrame, cell: list[str], counts: list[Near
 
     # Whole sub-cells: (sub-cell, instant) weights, then interval sums on the summed series.
     series = right.groupBy(*b_key, F.col("h_at").alias("at")).agg(F.sum("h_n").alias("n"))
-    whole = (sub.filter(any_of("in")).join(series, b_key).groupBy(*a_key, "at")
+    whole = (sub.filter(any_of("in")).join(series.hint("merge"), b_key).groupBy(*a_key, "at")
              .agg(*[F.sum(F.when(F.col(f"in_{c.name}"), F.col("n")).otherwise(F.lit(0))).alias(f"n_{c.name}")
                     for c in counts]))
     make = around if symmetric else past
     spans: list[Span] = [make(c.name, c.days, f"n_{c.name}") for c in counts]
     whole = span_counts(whole, left.select(*a_key, "at").distinct(), a_key, spans)
-    inner = left.select(*a_key, LAT, LON, "at").join(whole, [*a_key, "at"]).drop("ay", "ax")
+    inner = left.select(*a_key, LAT, LON, "at").join(whole.hint("merge"), [*a_key, "at"]).drop("ay", "ax")
 
     # Sub-cells cut by the radius: point test, restricted to the counts they are undecided for.
     edge = (sub.filter(any_of("edge")).select(*a_key, "by", "bx", *[f"edge_{c.name}" for c in counts])
-            .join(left.drop("n"), a_key).join(right, b_key))
+            .join(left.drop("n").hint("merge"), a_key).join(right.hint("merge"), b_key))
     rim = _pair_counts(edge, counts, symmetric, [*cell, LAT, LON, "at"],
                        {c.name: F.col(f"edge_{c.name}") for c in counts})
     return inner.unionByName(rim).groupBy(*cell, LAT, LON, "at").agg(
