@@ -2,11 +2,15 @@
 
 from datetime import datetime
 
+import duckdb
 import pytest
 
+import __spark_entry__ as entry
 from emberline.operators import neighbours
+from tests.check_queries import compare
 
 T0 = datetime(2026, 1, 1)
+QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
 
 
 def _events(spark, rows):
@@ -25,3 +29,39 @@ def test_copied_history_is_not_broadcast(spark, tmp_path, counts, symmetric):
     plan = _plan(neighbours.near_counts(events, events, counts, symmetric))
     pairs = [line for line in plan.splitlines() if "Join" in line and "cy#" in line and "cx#" in line]
     assert pairs and not any("BroadcastHashJoin" in line for line in pairs)
+
+
+def _tables(con, folder, events, customers):
+    """Events (event_id, user_id, hour) and customers by key, as the tables have them."""
+    rows = ", ".join(f"({e}, {u}, {h})" for e, u, h in events)
+    con.execute(f"""copy (select t.e::bigint as event_id, timestamp '2024-01-01' + to_hours(t.h::int) as ts, t.u::bigint as user_id,
+        'view' as event_type, 1e0 as value, '' as props from (values {rows}) t(e, u, h)) to '{folder}/events.parquet' (format parquet)""")
+    keys = ", ".join(f"({k})" for k in customers)
+    con.execute(f"""copy (select t.k::bigint as c_custkey, 'c' as c_name, 1::int as c_nationkey, 0e0 as c_acctbal, 'x' as c_mktsegment
+        from (values {keys}) t(k)) to '{folder}/customer.parquet' (format parquet)""")
+    con.execute("set timezone='UTC'")
+    for t in ("events", "customer"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+
+
+@pytest.mark.parametrize("key", ["boundary_clip", "clip_report"])
+def test_points_on_the_boundary_equal_their_sql(spark, tmp_path, key):
+    # The vertex (9, 72), and (9.001, 71.9996) on the edge that ends there.
+    users = next(u for u in range(70_000) if u * 37 % 251 == 10 and u * 53 % 257 == 30)
+    ids = [next(e for e in range(20_000) if e * 17 % 101 == 50 + i and e * 29 % 103 == 51 + j) for i, j in ((0, 0), (10, -4), (20, -8))]
+    con = duckdb.connect()
+    _tables(con, tmp_path, [(e, users, 0) for e in ids], [10])
+    verdict = compare(QUERIES[key](spark, str(tmp_path)), con, CHECKS[key])
+    assert verdict.startswith("ok"), verdict
+
+
+def test_facility_baseline_keeps_sites_apart_that_share_a_position(spark, tmp_path):
+    def close(site):     # its facility lies within some 300 m
+        return abs(70 * site % 41 - 20) <= 2 and abs(110 * site % 43 - 21) <= 2
+
+    con, apart = duckdb.connect(), 251 * 257
+    one, other = next((s, s + apart * k) for s in range(1, 9000) for k in range(1, 9) if close(s) and close(s + apart * k))
+    _tables(con, tmp_path, [(i, (one, other)[i % 2], 5 * i) for i in range(40)], [10 * one, 10 * other])
+    key = "facility_point_baseline"
+    verdict = compare(QUERIES[key](spark, str(tmp_path)), con, CHECKS[key])
+    assert verdict.startswith("ok"), verdict
