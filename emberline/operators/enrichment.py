@@ -35,9 +35,13 @@ def hotspot_cluster_size(events: DataFrame, history: DataFrame | None = None, sy
     return out.withColumn("hotspot_cluster_size", F.col("_cluster") + 1).drop("_cluster")
 
 
-def activity_baseline(events: DataFrame, history: DataFrame, lat: str = LAT, lon: str = LON) -> DataFrame:
-    """Baseline (all earlier / 30) and current activity (last 7 days / 7) within 1 km of a location."""
-    out = near_counts(events, history, BASELINE, lat=lat, lon=lon)
+def activity_baseline(events: DataFrame, history: DataFrame, lat: str = LAT, lon: str = LON,
+                      same: str | None = None) -> DataFrame:
+    """Baseline (all earlier / 30) and current activity (last 7 days / 7) within 1 km of a location.
+
+    With ``same``, history counts only where it has the event's value in that column.
+    """
+    out = near_counts(events, history, BASELINE, lat=lat, lon=lon, same=same)
     return _baseline_columns(out, "_prior", "_week").drop("_prior", "_week")
 
 

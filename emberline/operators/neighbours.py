@@ -38,10 +38,11 @@ class NearCount:
     days: float | None = None
 
 
-def _points(df: DataFrame, lat: str, lon: str, ts: str) -> DataFrame:
+def _points(df: DataFrame, lat: str, lon: str, ts: str, same: str | None) -> DataFrame:
     """Identical observations collapse to a weight: copies cannot make pairs."""
+    by = [] if same is None else [F.col(same).alias("_same")]
     return (df.filter(F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180) & F.col(ts).isNotNull())
-            .groupBy(F.col(lat).alias(LAT), F.col(lon).alias(LON), F.unix_micros(ts).alias("at"))
+            .groupBy(*by, F.col(lat).alias(LAT), F.col(lon).alias(LON), F.unix_micros(ts).alias("at"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -77,26 +78,29 @@ def _with_vector(df: DataFrame, lat: str, lon: str, prefix: str) -> DataFrame:
 
 
 def near_counts(events: DataFrame, history: DataFrame, counts: list[NearCount], symmetric: bool = False,
-                lat: str = LAT, lon: str = LON, ts: str = "ts", dense_pairs: int = DENSE_PAIRS) -> DataFrame:
+                lat: str = LAT, lon: str = LON, ts: str = "ts", dense_pairs: int = DENSE_PAIRS,
+                same: str | None = None) -> DataFrame:
     """Add one column per count to ``events``: history detections near each event.
 
     Past mode counts strictly earlier history only (simultaneous detections and
     the event itself never count).  Symmetric mode counts both sides of the
     event's own table and leaves the event itself out.  ``lat``/``lon`` name the
     event-side position (for example its facility); history uses
-    latitude/longitude/``ts``.
+    latitude/longitude/``ts``.  With ``same``, a column of both tables, only
+    history with the event's value there counts (none for NULL).
     """
+    by = [] if same is None else ["_same"]
     reach = arc_degrees(max(c.radius_m for c in counts))
     step = _CELL * reach
-    left = _with_vector(with_cell(_points(events, lat, lon, ts), LAT, LON, step), LAT, LON, "")
-    right = _points(history, LAT, LON, "ts").select(
-        F.col(LAT).alias("h_lat"), F.col(LON).alias("h_lon"), F.col("at").alias("h_at"), F.col("n").alias("h_n"))
+    left = _with_vector(with_cell(_points(events, lat, lon, ts, same), LAT, LON, step), LAT, LON, "")
+    right = _points(history, LAT, LON, "ts", same).select(
+        *by, F.col(LAT).alias("h_lat"), F.col(LON).alias("h_lon"), F.col("at").alias("h_at"), F.col("n").alias("h_n"))
     own_cells = with_cell(right, "h_lat", "h_lon", step)
     right = with_cells_in_reach(_with_vector(right, "h_lat", "h_lon", "h_"), "h_lat", "h_lon", reach, step)
 
     finite = all(c.days is not None for c in counts)
     # Rows copied to cells are many times what Catalyst expects of their files: they are merged, never broadcast.
-    cell = ["cy", "cx"]
+    cell = ["cy", "cx", *by]
     if finite:
         # Bounded windows: a time bucket in the key keeps a long archive from meeting itself.
         width = int(max(c.days for c in counts) * DAY_US)
@@ -126,15 +130,17 @@ def near_counts(events: DataFrame, history: DataFrame, counts: list[NearCount],
         busy = _dense(cut(left.join(busy_cells, cell, "left_semi")), cut(right.join(busy_cells, cell, "left_semi")),
                       cell, counts, symmetric, step / _FINE)
         found = calm.unionByName(busy)
-    found = found.drop(*cell)
+    found = found.drop(*[c for c in cell if c not in by])
 
     zero = F.lit(0).cast("long")
     own = F.lit(1).cast("long") if symmetric else zero
     keyed = events.withColumn("_at", F.unix_micros(ts))
-    found = found.select(F.col(LAT).alias("_la"), F.col(LON).alias("_lo"), F.col("at").alias("_t"),
+    found = found.select(*by, F.col(LAT).alias("_la"), F.col(LON).alias("_lo"), F.col("at").alias("_t"),
                          *[F.col(c.name).alias(f"_{c.name}") for c in counts])
-    joined = keyed.join(found, (F.col(lat) == F.col("_la")) & (F.col(lon) == F.col("_lo"))
-                        & (F.col("_at") == F.col("_t")), "left")
+    matched = (F.col(lat) == F.col("_la")) & (F.col(lon) == F.col("_lo")) & (F.col("_at") == F.col("_t"))
+    if by:
+        matched = matched & (keyed[same] == F.col("_same"))
+    joined = keyed.join(found, matched, "left")
     return joined.select(*events.columns, *[
         F.greatest(zero, F.coalesce(F.col(f"_{c.name}"), zero) - own).cast("long").alias(c.name) for c in counts])
 
