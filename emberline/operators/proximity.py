@@ -30,15 +30,15 @@ def pairs_within(points: DataFrame, targets: DataFrame, radius_m: float) -> Data
 
     ``points`` has latitude/longitude; ``targets`` has lat/lon plus payload.
     Targets, the smaller side, are copied to the cells in reach (9 on average);
-    points keep one cell.  Catalyst broadcasts the targets when their measured
-    size allows it and shuffles both sides by cell otherwise.
+    points keep one cell.  Both sides are shuffled by cell: the copies are many
+    times what Catalyst expects of the targets' files, so they are never broadcast.
     """
     reach = arc_degrees(radius_m)
     left = with_cell(points, LAT, LON, reach)
     right = with_cells_in_reach(
         targets.filter(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)),
         "lat", "lon", reach, reach)
-    near = left.join(right, ["cy", "cx"]).filter(F.abs(F.col(LAT) - F.col("lat")) <= reach)
+    near = left.join(right.hint("merge"), ["cy", "cx"]).filter(F.abs(F.col(LAT) - F.col("lat")) <= reach)
     return (near.withColumn("distance_m", haversine(LAT, LON, "lat", "lon"))
             .filter(F.col("distance_m") <= radius_m))
 

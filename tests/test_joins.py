@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from emberline.operators import neighbours
+from emberline.operators import neighbours, proximity
 from tests.check_queries import compare
 
 T0 = datetime(2026, 1, 1)
@@ -31,6 +31,15 @@ def test_copied_history_is_not_broadcast(spark, tmp_path, counts, symmetric):
     assert pairs and not any("BroadcastHashJoin" in line for line in pairs)
 
 
+def test_copied_targets_are_not_broadcast(spark, tmp_path):
+    _events(spark, [(i, i, 10.0 + i / 1000, 70.0, T0) for i in range(50)]).write.parquet(str(tmp_path / "e"))
+    events = spark.read.parquet(str(tmp_path / "e"))
+    targets = events.selectExpr("latitude as lat", "longitude as lon", "'steel' as facility_type")
+    plan = _plan(proximity.radius_counts(events, targets, proximity.FACILITY_COUNTS))
+    pairs = [line for line in plan.splitlines() if "Join" in line and "cy#" in line and "cx#" in line]
+    assert pairs and not any("BroadcastHashJoin" in line for line in pairs)
+
+
 def _tables(con, folder, events, customers):
     """Events (event_id, user_id, hour) and customers by key, as the tables have them."""
     rows = ", ".join(f"({e}, {u}, {h})" for e, u, h in events)
