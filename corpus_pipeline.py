@@ -19,7 +19,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: one document of each group of similar ones (five-word shingles, Jaccard 0.8) stays."""
+    """Operator 2: one document of each group linked by fingerprints, or by similarity (five-word shingles, Jaccard 0.8), stays."""
     small_batches(spark)
     return neardup.deduplicate(docs, stored=is_scan(docs))
 

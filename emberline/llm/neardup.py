@@ -32,7 +32,7 @@ from emberline.llm.registry import query
 from emberline.operators.clusters import components
 
 SHINGLE, SEED, LINK_BITS = 3, 42, 2
-#: What the pipeline's stage links, by Jaccard of five-word shingles; op2's fingerprints don't tell it.
+#: What the pipeline's stage links besides op2's fingerprints, by Jaccard of five-word shingles.
 SIMILARITY = 0.8
 #: Byte value -> eight byte lanes holding its bits.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
@@ -108,16 +108,43 @@ def links(prints: DataFrame, bits: int = LINK_BITS) -> DataFrame:
     return a.join(b, (F.col("a._point") == F.col("b._point")) & near & once).select(F.col("a._fp").alias("a"), F.col("b._fp").alias("b"))
 
 
-def component_ids(printed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(_fp, component_id) for every distinct fingerprint of a stored table (id_col, _fp)."""
+def print_roots(printed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(_fp, _first, _root) for every distinct fingerprint of a stored table (id_col, _fp): its smallest id, its component's fingerprint."""
     groups = land(printed.groupBy("_fp").agg(F.min(id_col).alias("_first")), "simhash-groups")
     roots = components(land(links(groups), "simhash-links"))
-    rooted = groups.join(roots, F.col("_fp") == F.col("node"), "left").select(
+    return groups.join(roots, F.col("_fp") == F.col("node"), "left").select(
         "_fp", "_first", F.coalesce("component", "_fp").alias("_root"))
+
+
+def component_ids(printed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(_fp, component_id) for every distinct fingerprint of a stored table (id_col, _fp)."""
+    rooted = print_roots(printed, id_col)
     mins = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
     return rooted.join(mins, "_root").select("_fp", "component_id")
 
 
+def printed_groups(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(_row, group) of stored ``rows`` (_row, text): components of linked fingerprints, named by their first row."""
+    printed = land(fingerprints(rows.select("_row", text), text, keep_text=False), "neardup-prints")
+    rooted = print_roots(printed, "_row")
+    named = rooted.join(rooted.groupBy("_root").agg(F.min("_first").alias("group")), "_root")
+    return printed.join(named.select("_fp", "group"), "_fp").select("_row", "group")
+
+
+def joined_groups(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(_row, group) of two groupings (_row, group) of the same rows: rows that meet in either are together.
+
+    A group of either is named by its first row here, so a row links the names of its two groups.
+    """
+    def named(groups: DataFrame, name: str) -> DataFrame:
+        first = groups.groupBy("group").agg(F.min("_row").alias(name))
+        return groups.join(first, "group").select("_row", name)
+
+    both = land(named(one, "a").join(named(other, "b"), "_row"), "neardup-both")
+    roots = link_groups(both.select("a", "b"))
+    return both.join(roots, F.col("a") == F.col("node"), "left").select("_row", F.coalesce("component", "a").alias("group"))
+
+
 def similar_groups(rows: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """(_row, group) of stored ``rows`` (_row, text): components of texts whose sets of five-word shingles are that similar.
 
@@ -142,10 +169,11 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, text: str = "te
                 stored: bool = False) -> DataFrame:
     """Keep one row of each group of similar texts: the one with the smallest id (of repeated rows, the first).
 
-    A frame that is read from files as it stands (``stored``) isn't written again.
+    Texts are linked by their fingerprints, and by exact similarity where these differ in more bits.  A frame that is read from files as it stands (``stored``) isn't written again.
     """
     rows = paragraphs.with_rows(docs, stored)
-    placed = rows.select(F.col(f"`{id_col}`").alias("_id"), "_row").join(similar_groups(rows, similarity, text), "_row")
+    placed = rows.select(F.col(f"`{id_col}`").alias("_id"), "_row").join(
+        joined_groups(printed_groups(rows, text), similar_groups(rows, similarity, text)), "_row")
     # A null id is the least wanted.
     first = placed.groupBy("group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
     return keep_beside(rows, first.select(F.col("first._row").alias("_row")), "neardup-kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -44,3 +44,19 @@ def test_edited_copies_go(spark):
     docs = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string").repartition(3)
     got = sorted(-1 if r.doc_id is None else r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, "").collect())
     assert got == want and 20 < len(want) < len(rows) - 20
+
+
+def test_linked_fingerprints_and_similar_texts_meet_in_one_group(spark, monkeypatch):
+    """The stage goes by op2's fingerprints too: a text that only they link is dropped, also through a third text."""
+    from emberline.llm import neardup
+    texts = [" ".join(f"{k}{i}" for i in range(60)) for k in "abcd"]
+    docs = spark.createDataFrame([(i + 1, t) for i, t in enumerate([*texts, texts[1] + " more"])], "doc_id long, text string")
+
+    def prints(df, text="text", words=3, keep_text=True):           # a and b are two bits apart
+        from pyspark.sql import functions as F
+        fp = F.when(F.col(text).startswith("a"), 0).when(F.col(text) == texts[1], 3).otherwise(F.xxhash64(text))
+        return df.withColumn("_fp", fp.cast("long")).select(*[c for c in df.columns if keep_text or c != text], "_fp")
+
+    monkeypatch.setattr(neardup, "fingerprints", prints)
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, "").collect())
+    assert got == [1, 3, 4]
