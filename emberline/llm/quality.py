@@ -36,9 +36,8 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = b"#*$%&|<>"
 #: Character classes: lower-case ASCII, upper-case ASCII, digit, white space, ``,.``, other ASCII signs, beyond ASCII (lead bytes).
 CLASSES = 7
-#: Most frequent words of a language that have bins; words a task counts before it drops the rarest, those it then keeps, and hands on;
-#: longest word looked at.
-COMMON_WORDS, COUNTED, KEPT_WORDS, HANDED_ON, LONGEST = 32, 200_000, 50_000, 2000, 24
+#: Most frequent words of a language that have bins; different words a task counts before it hands its counts on, and rows it hands on at once.
+COMMON_WORDS, COUNTED, HANDED_ON = 32, 200_000, 20_000
 #: A language needs this many characters in its reference.
 REFERENCE_CHARS = 2000
 #: Documents nearer than this to a first reference make the second.
@@ -76,10 +75,17 @@ def _repeated(words: list[bytes]) -> int:
 def learn_words(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = COMMON_WORDS) -> list[str]:
     """The ``most`` most frequent words with a letter of each language, together, from documents with enough words.
 
-    A task counts words of all its documents; where they are too many it takes the
-    count of the rarest kept word from all and goes on with what is left, so a word
-    that makes up one in ``KEPT_WORDS`` is never lost.
+    All words are counted: a task that holds too many different ones hands its counts
+    on and starts anew, and Spark adds up the counts of all tasks.
     """
+    def handed(found: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for name, own in found.items():
+            words = [w for w in own if _has_letter(w)]
+            for i in range(0, len(words), HANDED_ON):
+                some = words[i:i + HANDED_ON]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.binary()),
+                                                  pa.array([own[w] for w in some], pa.int64())], names=["name", "word", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
         for batch in batches:
@@ -88,17 +94,14 @@ def learn_words(docs: DataFrame, text: str = "text", lang: str = "lang", most: i
                     words = (t or b"").split()
                     if name is None or len(words) < LEAST_WORDS:
                         continue
-                    own = found.setdefault(name, Counter())
-                    own.update(words)
-                    if len(own) > COUNTED:
-                        top = own.most_common(KEPT_WORDS + 1)
-                        found[name] = Counter({w: n - top[-1][1] for w, n in top if n > top[-1][1]})
-        rows = [(name, w, n) for name, own in found.items() for w, n in own.most_common(HANDED_ON) if len(w) <= LONGEST and _has_letter(w)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.binary(), pa.int64()))],
-                                         names=["name", "word", "n"])
+                    found.setdefault(name, Counter()).update(words)
+                    if sum(map(len, found.values())) > COUNTED:
+                        yield from handed(found)
+                        found = {}
+        yield from handed(found)
 
     sums = docs.select(F.col(lang).cast("string").alias(lang), text).mapInArrow(count, "name string, word binary, n bigint").groupBy("name", "word").agg(F.sum("n").alias("n"))
-    # At most ``HANDED_ON`` words a task and language.
+    # The window keeps ``most`` rows of a language in each task before it meets the others.
     first = sums.withColumn("_place", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "word"))).filter(F.col("_place") <= most)
     return sorted({bytes(r["word"]).decode("utf-8", "replace") for r in first.select("word").distinct().collect()})
 
