@@ -36,9 +36,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: tokenized, cut and packed into sequences."""
+    """Operator 10: tokenized, cut and packed into sequences; workers that four stages have used remember fewer chunks."""
     small_batches(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, remembered=250_000)
 
 
 STAGES = [("quality rules", keep_good), ("near-dedup", drop_copies), ("substring dedup", drop_passages),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -48,6 +50,15 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", rows)
 
 
+def release_memory() -> None:
+    """Give back what earlier tasks of this worker took and freed; workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)         # glibc has it
+    if trim:
+        trim(0)
+
+
 def clean_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` doesn't have yet, for working columns."""
     name = wanted

@@ -60,6 +60,7 @@ class Encoder:
         self.known: dict[str, bytes | None] = {}
         self.parts: dict[str, bytes] = {}
         self.held = 0           # bytes of both
+        self.remembered = REMEMBERED
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, getattr(self, "dtype", np.dtype("<u4"))).tobytes()
@@ -104,7 +105,7 @@ class Encoder:
         for s in self.specials:
             if s in text:
                 return self.whole(text)
-        if len(self.known) + len(self.parts) > REMEMBERED or self.held > REMEMBERED_BYTES:
+        if len(self.known) + len(self.parts) > self.remembered or self.held > REMEMBERED_BYTES:
             self.known.clear()
             self.parts.clear()
             self.held = 0
@@ -131,8 +132,9 @@ class Encoder:
         return self.whole(text) if first is None else first + b"".join(out)
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of a vocabulary file."""
+def encoder(path: str, remembered: int | None = None) -> Encoder:
+    """The worker's encoder of a vocabulary file; ``remembered`` bounds its memory of chunks from now on."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].remembered = REMEMBERED if remembered is None else remembered
     return _ENCODERS[path]

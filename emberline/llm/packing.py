@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import land, pieces, table
+from emberline.llm.common import land, pieces, release_memory, table
 from emberline.llm.encode import encoder
 from emberline.llm.registry import query
 
@@ -40,13 +40,17 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text",
-               id_col: str = "doc_id") -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, and its rank among the task's pieces of that length."""
+               id_col: str = "doc_id", remembered: int | None = None) -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32, and its rank among the task's pieces of that length.
+
+    ``remembered`` bounds the encoder's memory of chunks; the ids don't depend on it.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, _task int, _rank bigint"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(vocabulary)
+        release_memory()
+        coder = encoder(vocabulary, remembered)
         end = np.array([end_id], coder.dtype).tobytes()
         width, task = coder.dtype.itemsize, TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
@@ -136,9 +140,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             .select(*[c for c in cut.columns if c not in ("_task", "_rank")], "sequence_id", "offset"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = "", capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str = "", capacity: int = CAPACITY, remembered: int | None = None) -> DataFrame:
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
-    return pack(land(cut_pieces(docs, vocabulary, capacity), "packing-pieces"), capacity)
+    return pack(land(cut_pieces(docs, vocabulary, capacity, remembered=remembered), "packing-pieces"), capacity)
 
 
 @query("op10_packing")
