@@ -61,7 +61,12 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     if path.rstrip("/").lower().endswith((".csv", ".txt")):
         df = spark.read.option("header", "true").csv(path)
     else:
-        df = spark.read.option("multiLine", "true").option("primitivesAsString", "true").json(path)
+        # Spark's own inference over multi-line files copies the list of all files for each file; from texts it is one scan.
+        texts = spark.read.text(path, wholetext=True).select("value").rdd.map(lambda row: row[0])
+        schema = spark.read.option("primitivesAsString", "true").json(texts).schema
+        reader = spark.read.option("multiLine", "true").option("primitivesAsString", "true")
+        # Other encodings than UTF-8 are left to Spark.
+        df = (reader if "_corrupt_record" in schema.names else reader.schema(schema)).json(path)
     return df.withColumns({c: to_double(F.col(c).cast("string")) for c in numeric if c in df.columns})
 
 

@@ -125,6 +125,23 @@ def test_event_lists(spark, tmp_path):
     assert detections.read_events(spark, str(tmp_path / "e.csv")).first()["latitude"] == 2.5
 
 
+def test_event_lists_are_inferred_from_texts(spark, tmp_path, monkeypatch):
+    """Over thousands of files, inference from multi-line paths takes time by the square of their number."""
+    listed, wide = tmp_path / "listed", tmp_path / "wide"
+    for i, items in enumerate(([{"id": "a", "frp": 3}], [{"id": "b", "latitude": "1.5"}], {"id": "c", "extra": {"x": 1}})):
+        (listed / f"doc={i}").mkdir(parents=True)
+        put(listed / f"doc={i}", "e.json", items)
+    wide.mkdir()
+    (wide / "e.json").write_bytes(json.dumps([{"id": "u", "frp": 4}]).encode("utf-16"))
+    paths, kind = [], type(spark.read)
+    plain = kind.json
+    monkeypatch.setattr(kind, "json", lambda self, path, *a, **k: (paths.append(isinstance(path, str)), plain(self, path, *a, **k))[1])
+    out = detections.read_events(spark, str(listed))
+    assert paths == [False, True] and set(out.columns) == {"doc", "extra", "frp", "id", "latitude"}
+    assert {r["id"]: (r["frp"], r["latitude"]) for r in out.collect()} == {"a": (3.0, None), "b": (None, 1.5), "c": (None, None)}
+    assert detections.read_events(spark, str(wide)).first()["id"] == "u"
+
+
 def test_chunk_calendar_and_coverage(spark):
     spans = spark.createDataFrame([("N20", datetime(2026, 1, 1).date(), datetime(2026, 1, 12).date())], "source string, start date, end date")
     cal = coverage.chunk_calendar(spans, 5)
