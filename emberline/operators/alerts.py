@@ -18,15 +18,26 @@ TOP_TIER = 3
 # Agency by tier.
 AGENCIES = {2: "State Disaster Management Authority (SDMA)", 3: "National Disaster Management Authority (NDMA Central)"}
 LOCAL_AGENCY = "Tier 1 Local Response"
+#: Actions of one partition, about; several sorts of them are held at the same time.
+PART_ACTIONS = 200_000
 
 
 def _agency(tier: Column) -> Column:
     return F.when(tier == 2, AGENCIES[2]).when(tier == 3, AGENCIES[3]).otherwise(LOCAL_AGENCY)
 
 
+def _parted(actions: DataFrame) -> DataFrame:
+    """All actions of an alert in one partition, of partitions that follow the number of actions.
+
+    The steps on an alert then need no further shuffle, and what a task sorts doesn't grow with
+    the table: actions are narrow and compress well, so partitions merged by their size hold millions.
+    """
+    return actions.repartition(max(1, -(-actions.count() // PART_ACTIONS)), "alert_id")
+
+
 def resolve_actions(actions: DataFrame) -> DataFrame:
     """Add current ``tier`` before each action and ``accepted``."""
-    ordered = actions.withColumn("_o", F.struct("at", "seq"))
+    ordered = _parted(actions).withColumn("_o", F.struct("at", "seq"))
     asks = F.col("action") == "ESCALATE"
     caller = F.col("caller_tier")
     first = ordered.groupBy("alert_id").agg(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from emberline.fixtures import view
 from emberline.operators import alerts, serving
 from emberline.plans.registry import query
+from emberline.session import cut
 
 # The fold restated with window functions: first eligible escalation per tier.
 FOLD = """o as (select *, row_number() over (partition by alert_id order by "at", seq) as rk from fx_alert_action),
@@ -74,7 +75,7 @@ def alert_summary(spark, sf):
 @query("tier_queue", f"""with {FOLD}, op as (select * from al where status<>'RESOLVED') select t.tier, alert_id from op, (values (1),(2),(3),(4)) t(tier)
  where current_tier=t.tier or not exists (select 1 from op o2 where o2.current_tier=t.tier)""", V)
 def tier_queue(spark, sf):
-    table = alert_table(spark, sf)
+    table = cut(alert_table(spark, sf).select("alert_id", "status", "current_tier"))        # each tier reads it twice
     out = None
     for tier in (1, 2, 3, 4):
         part = alerts.tier_queue(table, tier).select(F.lit(tier).alias("tier"), "alert_id")
