@@ -44,10 +44,12 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Read texts and hand them to Python in small batches: a task holds several copies of a batch, in both processes.
 
     Scans fill their column vectors by as many rows, so that those stay small beside
-    the heap.  Results don't depend on it.
+    the heap.  The files of a query's shuffles go when it ends: the rounds of a stage
+    have many small ones.  Results don't depend on it.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", rows)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
 
 
 def release_memory() -> None:

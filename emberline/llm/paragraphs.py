@@ -4,11 +4,11 @@ A paragraph is a line with at least ``LEAST_WORDS`` words.  Equal paragraphs are
 collapsed first.  Each distinct paragraph has ``BANDS`` bands of ``ROWS`` minima over
 its five-word shingles: at similarity 0.8 a pair meets in some band with probability
 1 - (1 - 0.8^3)^10 = 0.9992.  In a band bucket every paragraph is first compared with
-the most frequent one.  Those that don't match it meet the other members by an exact
-prefix filter: only pairs that share one of their rarest shingles can reach the
-similarity, and a bitmap of each set tells inside that join how many shingles at least
-are not shared.  Verified links form components; of each, the first occurrence in the
-table stays.
+the most frequent one.  Those that don't match it meet the members that these links
+haven't joined with them by an exact prefix filter: only pairs that share one of their
+rarest shingles can reach the similarity, and a bitmap of each set tells inside that
+join how many shingles at least are not shared.  Verified links form components; of
+each, the first occurrence in the table stays.
 
 A passage that is wrapped otherwise, or stands inside a longer line, is no paragraph of
 its own.  So the whole text is also cut into pieces at places that its words decide
@@ -240,7 +240,11 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def similar_links(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, text: str = "text",
                   least_words: int = LEAST_WORDS) -> DataFrame:
-    """Verified links (a, b) that join the similar ones of the distinct paragraphs ``reps`` (pid, copies, first_row, k1, k2, b0, ...)."""
+    """Verified links (a, b) that join the similar ones of the distinct paragraphs ``reps`` (pid, copies, first_row, k1, k2, b0, ...).
+
+    Their components are those of all similar pairs.  A large group of variants is
+    joined by its links to pivots; among themselves its members are not paired.
+    """
     limit = 1 - similarity + 1e-9
     rows = reps.select("pid", "copies", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("bucket"))
     bucket = Window.partitionBy("bucket").orderBy(F.desc("copies"), "pid").rowsBetween(Window.unboundedPreceding, 0)
@@ -255,12 +259,15 @@ def similar_links(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARI
     lost = land(placed.filter(F.col("dist") > limit).select("bucket", "pid"), "paragraph-lost")
     company = (members.join(lost.select("bucket").distinct(), "bucket").select("pid").distinct()
                .join(lost.select("pid").distinct().withColumn("lost", F.lit(True)), "pid", "left"))
-    others = _measured(_prefix_pairs(sets.join(company, "pid"), similarity), sets)
-    return near.unionByName(others).filter(F.col("dist") <= limit).select("a", "b")
+    # Only pairs of different groups can join anything that the pivots didn't.
+    joined = land(link_groups(near.filter(F.col("dist") <= limit)), "paragraph-joined")
+    grouped = company.join(joined, F.col("pid") == F.col("node"), "left").select("pid", "lost", F.coalesce("component", "pid").alias("joined"))
+    others = _measured(_prefix_pairs(sets.join(grouped, "pid"), similarity), sets).filter(F.col("dist") <= limit)
+    return joined.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(others.select("a", "b"))
 
 
 def _prefix_pairs(items: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b), a lost, that may reach ``similarity``: they share one of their rarest shingles.
+    """Pairs (a, b) of different ``joined`` groups, a lost, that may reach ``similarity``: they share one of their rarest shingles.
 
     Two sets of similarity t share an element among the first n - ceil(t n) + 1 of
     each in any common order, and at the first one enough elements must lie ahead
@@ -271,23 +278,23 @@ def _prefix_pairs(items: DataFrame, similarity: float) -> DataFrame:
     ``BEHIND`` shingles before its own, and the join leaves out what they share.
     What lies further back only repeats a pair, which the last step merges.
     """
-    each = items.select("pid", "lost", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    each = items.select("pid", "lost", "joined", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     rare = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    order = each.join(rare.filter("df > 1"), "s").groupBy("pid", "lost", "n").agg(
+    order = each.join(rare.filter("df > 1"), "s").groupBy("pid", "lost", "joined", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))                    # shingles of one paragraph
     # Shingles that nobody else has come first and join nothing: they only use up the prefix.
     length = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))
     mapped = order.filter(length > 0).join(items.select("pid", *MAPS), "pid")
-    head = mapped.select("pid", "lost", "n", *MAPS, (F.col("n") - F.size("shared")).alias("own"), "shared",
+    head = mapped.select("pid", "lost", "joined", "n", *MAPS, (F.col("n") - F.size("shared")).alias("own"), "shared",
                          F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("i", "x"))
     # What can still be shared from this shingle on, itself included.
     back = F.least(F.col("i"), F.lit(BEHIND))
-    head = head.select("pid", "lost", "n", *MAPS, (F.col("n") - F.col("own") - F.col("i")).alias("ahead"), F.col("x.s").alias("s"),
+    head = head.select("pid", "lost", "joined", "n", *MAPS, (F.col("n") - F.col("own") - F.col("i")).alias("ahead"), F.col("x.s").alias("s"),
                        F.slice("shared.s", F.col("i") - back + 1, back).alias("behind"))
     a, b = head.filter("lost").alias("a"), head.alias("b")
     only_a, only_b = (" + ".join(f"bit_count({x}.{m} & ~{y}.{m})" for m in MAPS) for x, y in ("ab", "ba"))
-    alike = F.expr(f"least(a.ahead, b.ahead, a.n - ({only_a}), b.n - ({only_b})) >= {similarity / (1 + similarity)!r}D * (a.n + b.n) - 1e-6D "
-                   "and a.pid <> b.pid and (b.lost is null or a.pid < b.pid) and not arrays_overlap(a.behind, b.behind)")
+    alike = F.expr(f"a.joined <> b.joined and least(a.ahead, b.ahead, a.n - ({only_a}), b.n - ({only_b})) >= {similarity / (1 + similarity)!r}D * (a.n + b.n) - 1e-6D "
+                   "and (b.lost is null or a.pid < b.pid) and not arrays_overlap(a.behind, b.behind)")
     return (a.join(b, (F.col("a.s") == F.col("b.s")) & alike)
             .select(F.col("a.pid").alias("a"), F.col("b.pid").alias("b")).distinct())
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import corpus_pipeline
 
@@ -60,3 +61,48 @@ def test_linked_fingerprints_and_similar_texts_meet_in_one_group(spark, monkeypa
     monkeypatch.setattr(neardup, "fingerprints", prints)
     got = sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, "").collect())
     assert got == [1, 3, 4]
+
+
+def test_a_group_of_variants_is_not_paired_with_itself(spark, monkeypatch):
+    """Variants of one, two and three edits: many pairs are similar, but once pivots have joined the group no more of them are tested."""
+    from emberline.llm import neardup, paragraphs
+    rng = random.Random(3)
+    base, rows = [f"w{rng.randrange(4000)}" for _ in range(200)], []
+    for i in range(120):
+        copy = list(base)
+        for place in rng.sample(range(200), 1 + i % 3):
+            copy[place] = f"x{i} {rng.randrange(4000)}"
+        rows.append((i, " ".join(copy)))
+    tested, measure = [], paragraphs._measured
+
+    def counted(pairs, sets):
+        tested.append(pairs.count())
+        return measure(pairs, sets)
+
+    monkeypatch.setattr(paragraphs, "_measured", counted)
+    docs = paragraphs.with_rows(spark.createDataFrame(rows, "doc_id long, text string"), False)
+    groups = [r.group for r in neardup.similar_groups(docs.select("_row", "text")).collect()]
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(a, b) for a in range(120) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 2000 and len(groups) == 120 and len(set(groups)) == 1
+    assert tested[0] < 1200 and sum(tested[1:]) < 600
+
+
+def test_shuffle_files_go_when_a_query_ends(spark):
+    """Rounds of small shuffles don't pile up files beside a stage of the pipeline."""
+    from emberline.llm.common import land, small_batches
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        held = disk.getAllFiles()
+        return {name for name in (held.apply(i).getName() for i in range(held.size())) if name.startswith("shuffle_")}
+
+    small_batches(spark)
+    before = files()
+    land(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "cleanup-test")
+    for _ in range(20):                     # they are removed a moment later
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.5)
+    assert not left
