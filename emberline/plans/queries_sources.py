@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.fixtures import view
 from emberline.operators import clean
+from emberline.operators.ordered import running_total
 from emberline.plans.queries_clean import CHECKED, IDS, ISO, raw_feed
 from emberline.plans.registry import query
 from emberline.session import checkpoint_dir
@@ -145,10 +146,8 @@ def landcover_scan(spark, sf):
     cover, edges = geojson.read_landcover(spark, *paths)
     boxes = edges.groupBy("geom_id").agg(F.count(F.lit(1)).alias("edges"), F.min("x1").alias("west"), F.min("y1").alias("south"),
                                          F.max("x1").alias("east"), F.max("y1").alias("north"))
-    # The place among all polygons, counted from those that come before.
-    orders = cover.select(F.col("ord").alias("_o"))
-    place = cover.join(orders, F.col("_o") <= F.col("ord")).groupBy("geom_id").agg(F.count(F.lit(1)).alias("place"))
-    return cover.join(boxes, "geom_id").join(place, "geom_id").select("class", "edges", "west", "south", "east", "north", "place")
+    place = running_total(cover.withColumn("one", F.lit(1)), ["ord"], "one", "place")      # among all polygons
+    return place.join(boxes, "geom_id").select("class", "edges", "west", "south", "east", "north", "place")
 
 
 @query("typed_layer_files", """select facility_type, name, case when facility_type='power_plant' then case ord%4 when 0 then 'thermal' when 1 then 'hydro' when 2 then 'other' end end as power_plant_type,
