@@ -6,9 +6,11 @@ tree: at every level of a grid over the cube around the globe, each occupied cel
 has the tight box of what lies in it.  The descent holds pairs of a query cell and
 an item cell.  From level to level both are replaced by their children; the least
 upper bound over a query cell's pairs says how far its nearest item can be at most,
-and pairs that can't come that near are dropped.  Every step is an equality join on
-the parents' keys and one aggregate on the query cell.  What survives is the rim at
-about the nearest distance, a few cells wide, however many items lie behind it.
+and pairs that can't come that near are dropped.  Every step is two equality joins on
+the parents' keys around one aggregate, which collects the item cells that a query
+cell meets: they are few, and its children take what they need from its row.  What
+survives is the rim at about the nearest distance, a few cells wide, however many
+items lie behind it.  Last, every point takes its own candidates from its cell's.
 
 Items may have an extent (``reach_m`` around their centre).  They stay at the level
 whose cells match it, apart from smaller ones, so a few long items widen no other
@@ -17,14 +19,15 @@ item's box.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import EARTH_RADIUS_M, unit_vector
 from emberline.session import cut
 
-#: Levels of the grid (2^-21 of the cube is 6 m), levels of one step, items of a cell at the last level.
-DEEPEST, STRIDE, LEAF_ITEMS = 21, 3, 8
+#: Levels of the grid (2^-21 of the cube is 6 m), levels of one step, items of a cell at the last level,
+#: and the first level (25 km) that may be the last one: points are dealt out by its cells.
+DEEPEST, STRIDE, LEAF_ITEMS, SHALLOWEST = 21, 3, 8, 9
 #: Room for rounding in unit coordinates (about 6 mm).
 SLACK = 1e-9
 _AXES = ("x", "y", "z")
@@ -60,25 +63,32 @@ def _at_levels(cells: DataFrame, levels: list[int], by: list[str]) -> DataFrame:
     return flat.groupBy(*by, "level", "key", "parent").agg(*_box(), F.sum("_n").alias("_n"))
 
 
-def _bounds(q: str = "q", n: str = "n") -> tuple[Column, Column]:
-    """Least and greatest squared chord between two boxes."""
-    zero = F.lit(0.0)
-    gap = [F.greatest(zero, F.col(f"{q}_l{a}") - F.col(f"{n}_h{a}"), F.col(f"{n}_l{a}") - F.col(f"{q}_h{a}")) for a in _AXES]
-    span = [F.greatest(F.col(f"{q}_h{a}") - F.col(f"{n}_l{a}"), F.col(f"{n}_h{a}") - F.col(f"{q}_l{a}")) for a in _AXES]
-    return sum((g * g for g in gap[1:]), gap[0] * gap[0]), sum((s * s for s in span[1:]), span[0] * span[0])
-
-
 def _named(df: DataFrame, prefix: str) -> list[Column]:
     return [F.col(f"_{c}{a}").alias(f"{prefix}_{c}{a}") for a in _AXES for c in "lh"]
 
 
-def _pruned(pairs: DataFrame, group: list[str]) -> DataFrame:
-    """Drop the pairs that can't come as near as the query cell's best pair surely does."""
-    low, high = _bounds()
-    best = F.min("_high").over(Window.partitionBy("qkey", *group))
-    # The root of the slack's share of a chord keeps ties and rounding.
-    return (pairs.withColumn("_low", low).withColumn("_high", high).withColumn("_best", best)
-            .filter(F.sqrt("_low") <= F.sqrt("_best") + SLACK).drop("_low", "_high", "_best"))
+def _box_of(name: str = "n", **more: Column) -> Column:
+    """A box and what it belongs to, as one value of an array."""
+    return F.struct(*[c.alias(k) for k, c in more.items()], *[F.col(f"_{c}{a}").alias(f"{c}{a}") for a in _AXES for c in "lh"]).alias(name)
+
+
+def _pruned(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and ``n``: the boxes of a row's array ``_near`` that can come as near to its box (``q_``) as one of them surely does.
+
+    All boxes that compete for a query cell lie in its row, so pairs that are dropped are never shuffled.
+    """
+    def bounds(n: Column) -> Column:
+        """Least and greatest chord between the two boxes."""
+        gap = [F.greatest(F.lit(0.0), F.col(f"q_l{a}") - n[f"h{a}"], n[f"l{a}"] - F.col(f"q_h{a}")) for a in _AXES]
+        span = [F.greatest(F.col(f"q_h{a}") - n[f"l{a}"], n[f"h{a}"] - F.col(f"q_l{a}")) for a in _AXES]
+        low, high = (F.sqrt(sum((d * d for d in side[1:]), side[0] * side[0])) for side in (gap, span))
+        return F.struct(n.alias("n"), low.alias("low"), high.alias("high"))
+
+    rows = rows.withColumn("_b", F.transform("_near", bounds))
+    # The slack keeps ties and rounding; as the variable of a function the bound is worked out once a row.
+    best = F.array_min(F.transform("_b", lambda b: b["high"])) + SLACK
+    near = F.flatten(F.transform(F.array(best), lambda most: F.filter("_b", lambda b: b["low"] <= most)))
+    return rows.select(*keep, F.explode(near).alias("_b")).select(*keep, "_b.n")
 
 
 def near_items(points: DataFrame, items: DataFrame, group: list[str], lat: str = "latitude", lon: str = "longitude") -> DataFrame:
@@ -100,28 +110,26 @@ def near_items(points: DataFrame, items: DataFrame, group: list[str], lat: str =
     levels = list(range(0, DEEPEST + 1, STRIDE))
     nodes = cut(_at_levels(finest, levels, [*group, "_kind"]))
     crowd = {r["level"]: r["n"] for r in nodes.filter("_kind >= level").groupBy("level").agg(F.max("_n").alias("n")).collect()}   # a row for each level
-    last = next((n for n in levels if crowd.get(n, 0) <= LEAF_ITEMS), DEEPEST)
-    last = min(DEEPEST, last + STRIDE)          # one step more on the side of the points
+    last = max(SHALLOWEST, next((n for n in levels if crowd.get(n, 0) <= LEAF_ITEMS), DEEPEST))
 
     asked = _placed(points, lat, lon).withColumn("cell", _key(last))
     ends = [f.alias(f"_{c}{a}") for a in _AXES for c, f in (("l", F.col(f"_{a}")), ("h", F.col(f"_{a}")))]
-    occupied = asked.select("cell", *[f"_c{a}" for a in _AXES], *ends).groupBy("cell").agg(
-        *_box(), *[F.min(f"_c{a}").alias(f"_c{a}") for a in _AXES]).withColumn("_n", F.lit(1))
+    occupied = asked.select("cell", *[F.expr(f"shiftleft(shiftright(_c{a}, {DEEPEST - last}), {DEEPEST - last})").alias(f"_c{a}") for a in _AXES], *ends)
+    occupied = occupied.groupBy("cell", *[f"_c{a}" for a in _AXES]).agg(*_box(), F.lit(1).alias("_n"))
     cells = cut(_at_levels(occupied, [n for n in levels if n <= last], []))
 
-    def queries(level: int) -> DataFrame:
-        return cells.filter(F.col("level") == level).select(F.col("key").alias("qkey"), F.col("parent").alias("qparent"), *_named(cells, "q"))
-
-    pairs = queries(0).select("qkey").join(
+    pairs = cells.filter("level = 0").select(F.col("key").alias("qkey")).join(
         nodes.filter("level = 0").select(*group, "_kind", F.col("key").alias("nkey")), F.col("qkey") == F.col("nkey"))
     for level in levels[1:levels.index(last) + 1]:
-        below = nodes.filter(F.col("level") == level).select(*group, "_kind", F.col("key").alias("nchild"), F.col("parent").alias("nkey"), *_named(nodes, "n"))
-        up = pairs.select(*group, "_kind", F.col("qkey").alias("qparent"), "nkey")
-        pairs = _pruned(up.join(queries(level), "qparent").join(below, [*group, "_kind", "nkey"])
-                        .drop("qparent", "nkey").withColumnRenamed("nchild", "nkey"), group)
-        boxes = [c for c in pairs.columns if c.startswith("q_")]
-        pairs = pairs.select(*group, "_kind", "qkey", "nkey", *boxes) if level == last else pairs.select(*group, "_kind", "qkey", "nkey")
-    leaves = spots.withColumn("nkey", _key(last))
-    leaves = leaves.select(*items.columns, "_kind", "nkey", *_named(leaves, "n"))
-    found = _pruned(pairs.join(leaves, [*group, "_kind", "nkey"]), group).select(F.col("qkey").alias("cell"), *items.columns)
-    return asked.select(*points.columns, "cell").join(found, "cell")
+        below = nodes.filter(F.col("level") == level).select(
+            *group, "_kind", F.col("parent").alias("nkey"), _box_of(_kind=F.col("_kind"), nkey=F.col("key")))
+        queries = cells.filter(F.col("level") == level).select(F.col("key").alias("qkey"), F.col("parent").alias("qparent"), *_named(cells, "q"))
+        met = pairs.join(below, [*group, "_kind", "nkey"]).groupBy(F.col("qkey").alias("qparent"), *group).agg(F.collect_list("n").alias("_near"))
+        pairs = _pruned(met.join(queries, "qparent"), [*group, "qkey"]).select(*group, "qkey", "n._kind", "n.nkey")
+    leaves = spots.withColumn("nkey", _key(last)).select(
+        *group, "_kind", "nkey", _box_of(item=F.struct(*items.columns)))
+    met = pairs.join(leaves, [*group, "_kind", "nkey"]).groupBy(F.col("qkey").alias("cell"), *group).agg(F.collect_list("n").alias("_near"))
+    # The points themselves are the last query boxes.
+    spot = dict(zip(_AXES, unit_vector(lat, lon)))
+    near = asked.select(*points.columns, "cell").join(met, "cell").withColumns({f"q_{c}{a}": spot[a] for a in _AXES for c in "lh"})
+    return _pruned(near, [*points.columns, "cell"]).select(*points.columns, "cell", "n.item.*")

@@ -68,3 +68,15 @@ def test_far_dense_cluster_adds_no_candidates(spark, place):
         return len(found(spark, points, [(0, i, lat + rng.random(), lon + rng.random() * 0.9, 0.0) for i in range(n)]))
     few, many = rows(1000), rows(16_000)
     assert many <= 2 * 150 + few and many < 4 * 150, (few, many)
+
+
+def test_crowded_points_share_the_cells_that_items_ask_for(spark):
+    rng = random.Random(11)
+    points = [(20 + rng.random() * 0.1, 80 + rng.random() * 0.1) for _ in range(500)]
+    items = [(0, i * 20 + k, 15 + i * 0.5, 75 + k * 0.5, 0.0) for i in range(20) for k in range(20)]
+    p = spark.createDataFrame(points, "latitude double, longitude double")
+    got = near_items(p, spark.createDataFrame(items, KIND), ["g"]).select("latitude", "longitude", "cell", "ord").collect()
+    assert len({r.cell for r in got}) <= 4                     # points of one neighbourhood, however many, are few query cells
+    assert len(got) == 500                                     # and each takes its own nearest of the cell's candidates
+    for r in got:
+        assert r.ord == min((chord((r.latitude, r.longitude), i[2:4]), i[1]) for i in items)[1]
