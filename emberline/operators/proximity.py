@@ -109,7 +109,7 @@ def within_radius(events: DataFrame, facilities: DataFrame, radius_m: float) ->
 
 def nearest_points(events: DataFrame, items: DataFrame, payload: list[str], group: list[str],
                    radius: float = EARTH_RADIUS_M) -> DataFrame:
-    """Nearest point item per distinct event coordinate and group: a struct column ``best``.
+    """Nearest point item per distinct event coordinate and group: a struct column ``best``, and the coordinate's ``cell``.
 
     Items need lat, lon, ord, the payload and the group columns; ties go to the lowest ``ord``.
     """
@@ -120,17 +120,16 @@ def nearest_points(events: DataFrame, items: DataFrame, payload: list[str], grou
                          *[F.col(f"_item.{p}").alias(p) for p in payload], F.lit(0.0).alias("reach_m"))
     pairs = near_items(locations(events), first, group)
     pairs = pairs.withColumn("distance_m", haversine(LAT, LON, "lat", "lon", radius))
-    # The cell is a function of the coordinates: naming it keeps the join's partitioning.
+    # The cell is a function of the coordinates: naming it keeps the join's partitioning, also in further aggregates.
     return pairs.groupBy("cell", LAT, LON, *group).agg(
-        F.min_by(F.struct("distance_m", "ord", *payload), F.struct("distance_m", "ord")).alias("best")
-    ).drop("cell")
+        F.min_by(F.struct("distance_m", "ord", *payload), F.struct("distance_m", "ord")).alias("best"))
 
 
 def nearest(events: DataFrame, facilities: DataFrame) -> DataFrame:
     """Nearest facility at any distance (NULL columns when there are no facilities)."""
     extra = ["original_type"] if "original_type" in facilities.columns else []
     payload = ["facility_id", "name", "facility_type", *extra]
-    best = nearest_points(events, facilities.withColumn("_g", F.lit(0)), payload, ["_g"]).drop("_g")
+    best = nearest_points(events, facilities.withColumn("_g", F.lit(0)), payload, ["_g"]).drop("_g", "cell")
     out = events.join(best, [LAT, LON], "left")
     cols = [F.col("best.facility_id").alias("nearest_facility_id"),
             F.col("best.name").alias("nearest_facility_name"),
@@ -146,9 +145,9 @@ def nearest_by_category(events: DataFrame, facilities: DataFrame, categories: di
     tagged = facilities.withColumn("_g", F.explode(F.array_compact(F.array(*[
         F.when(F.col("facility_type").isin(sorted(types)), F.lit(name)) for name, types in categories.items()]))))
     best = nearest_points(events, tagged, [], ["_g"])
-    wide = best.groupBy(LAT, LON).agg(*[
+    wide = best.groupBy("cell", LAT, LON).agg(*[
         F.min(F.when(F.col("_g") == name, F.col("best.distance_m"))).alias(f"nearest_{name}_distance_m")
-        for name in categories])
+        for name in categories]).drop("cell")
     return events.join(wide, [LAT, LON], "left").select(
         *events.columns, *[f"nearest_{name}_distance_m" for name in categories])
 
@@ -188,10 +187,10 @@ def asset_proximity(events: DataFrame, plants: DataFrame, flares: DataFrame, min
     def of(kind: str, field: str) -> Column:
         return F.max(F.when(F.col("_g") == kind, F.col(f"best.{field}")))
 
-    wide = best.groupBy(LAT, LON).agg(
+    wide = best.groupBy("cell", LAT, LON).agg(
         of("plant", "distance_m").alias("distance_to_plant_km"), of("flare", "distance_m").alias("distance_to_flare_km"),
         of("mine", "distance_m").alias("distance_to_coal_mine_km"),
-        of("plant", "_attrs").alias("_plant"), of("flare", "_attrs").alias("_flare"), of("mine", "_attrs").alias("_mine"))
+        of("plant", "_attrs").alias("_plant"), of("flare", "_attrs").alias("_flare"), of("mine", "_attrs").alias("_mine")).drop("cell")
     out = events.join(wide, [LAT, LON], "left")
 
     def text(blob: str, key: str, name: str) -> Column:
