@@ -67,27 +67,36 @@ def _named(df: DataFrame, prefix: str) -> list[Column]:
     return [F.col(f"_{c}{a}").alias(f"{prefix}_{c}{a}") for a in _AXES for c in "lh"]
 
 
-def _box_of(name: str = "n", **more: Column) -> Column:
-    """A box and what it belongs to, as one value of an array."""
-    return F.struct(*[c.alias(k) for k, c in more.items()], *[F.col(f"_{c}{a}").alias(f"{c}{a}") for a in _AXES for c in "lh"]).alias(name)
+def _length(sides: list[Column]) -> Column:
+    # A power names its side once: inside a function nothing that is written twice is shared.
+    return F.sqrt(sum((F.pow(d, F.lit(2.0)) for d in sides[1:]), F.pow(sides[0], F.lit(2.0))))
 
 
-def _pruned(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and ``n``: the boxes of a row's array ``_near`` that can come as near to its box (``q_``) as one of them surely does.
+def _from_box(n: Column) -> tuple[Column, Column]:
+    """Least and greatest chord between the row's box (``q_``) and a box."""
+    gap = [F.greatest(F.lit(0.0), F.col(f"q_l{a}") - n[f"h{a}"], n[f"l{a}"] - F.col(f"q_h{a}")) for a in _AXES]
+    span = [F.greatest(F.col(f"q_h{a}") - n[f"l{a}"], n[f"h{a}"] - F.col(f"q_l{a}")) for a in _AXES]
+    return _length(gap), _length(span)
 
-    All boxes that compete for a query cell lie in its row, so pairs that are dropped are never shuffled.
+
+def _from_point(n: Column) -> tuple[Column, Column]:
+    """Chord between the row's point (``q_``) and an item's centre, and the item's extent."""
+    return _length([F.col(f"q_{a}") - n[a] for a in _AXES]), n["extent"]
+
+
+def _pruned(rows: DataFrame, keep: list[str], point: bool = False) -> DataFrame:
+    """``keep`` and ``n``: what in a row's array ``_near`` can come as near to its box or point as one of them surely does.
+
+    All that competes for a query cell lies in its row, so what is dropped is never shuffled.
     """
-    def bounds(n: Column) -> Column:
-        """Least and greatest chord between the two boxes."""
-        gap = [F.greatest(F.lit(0.0), F.col(f"q_l{a}") - n[f"h{a}"], n[f"l{a}"] - F.col(f"q_h{a}")) for a in _AXES]
-        span = [F.greatest(F.col(f"q_h{a}") - n[f"l{a}"], n[f"h{a}"] - F.col(f"q_l{a}")) for a in _AXES]
-        low, high = (F.sqrt(sum((d * d for d in side[1:]), side[0] * side[0])) for side in (gap, span))
-        return F.struct(n.alias("n"), low.alias("low"), high.alias("high"))
-
-    rows = rows.withColumn("_b", F.transform("_near", bounds))
+    def measured(n: Column) -> Column:
+        a, b = _from_point(n) if point else _from_box(n)
+        return F.struct(n.alias("n"), a.alias("a"), b.alias("b"))
+
+    rows = rows.withColumn("_b", F.transform("_near", measured))
     # The slack keeps ties and rounding; as the variable of a function the bound is worked out once a row.
-    best = F.array_min(F.transform("_b", lambda b: b["high"])) + SLACK
-    near = F.flatten(F.transform(F.array(best), lambda most: F.filter("_b", lambda b: b["low"] <= most)))
+    best = F.array_min(F.transform("_b", lambda b: b["a"] + b["b"] if point else b["b"])) + SLACK
+    near = F.flatten(F.transform(F.array(best), lambda most: F.filter("_b", lambda b: (b["a"] - b["b"] if point else b["a"]) <= most)))
     return rows.select(*keep, F.explode(near).alias("_b")).select(*keep, "_b.n")
 
 
@@ -122,14 +131,15 @@ def near_items(points: DataFrame, items: DataFrame, group: list[str], lat: str =
         nodes.filter("level = 0").select(*group, "_kind", F.col("key").alias("nkey")), F.col("qkey") == F.col("nkey"))
     for level in levels[1:levels.index(last) + 1]:
         below = nodes.filter(F.col("level") == level).select(
-            *group, "_kind", F.col("parent").alias("nkey"), _box_of(_kind=F.col("_kind"), nkey=F.col("key")))
+            *group, "_kind", F.col("parent").alias("nkey"),
+            F.struct("_kind", F.col("key").alias("nkey"), *[F.col(f"_{c}{a}").alias(f"{c}{a}") for a in _AXES for c in "lh"]).alias("n"))
         queries = cells.filter(F.col("level") == level).select(F.col("key").alias("qkey"), F.col("parent").alias("qparent"), *_named(cells, "q"))
         met = pairs.join(below, [*group, "_kind", "nkey"]).groupBy(F.col("qkey").alias("qparent"), *group).agg(F.collect_list("n").alias("_near"))
         pairs = _pruned(met.join(queries, "qparent"), [*group, "qkey"]).select(*group, "qkey", "n._kind", "n.nkey")
-    leaves = spots.withColumn("nkey", _key(last)).select(
-        *group, "_kind", "nkey", _box_of(item=F.struct(*items.columns)))
+    leaves = spots.withColumn("nkey", _key(last)).select(*group, "_kind", "nkey", F.struct(
+        F.struct(*items.columns).alias("item"), *[F.col(f"_{a}").alias(a) for a in _AXES], (extent + SLACK).alias("extent")).alias("n"))
     met = pairs.join(leaves, [*group, "_kind", "nkey"]).groupBy(F.col("qkey").alias("cell"), *group).agg(F.collect_list("n").alias("_near"))
     # The points themselves are the last query boxes.
     spot = dict(zip(_AXES, unit_vector(lat, lon)))
-    near = asked.select(*points.columns, "cell").join(met, "cell").withColumns({f"q_{c}{a}": spot[a] for a in _AXES for c in "lh"})
-    return _pruned(near, [*points.columns, "cell"]).select(*points.columns, "cell", "n.item.*")
+    near = asked.select(*points.columns, "cell").join(met, "cell").withColumns({f"q_{a}": spot[a] for a in _AXES})
+    return _pruned(near, [*points.columns, "cell"], point=True).select(*points.columns, "cell", "n.item.*")
