@@ -322,7 +322,16 @@ def activity_7d(events: DataFrame, facilities: DataFrame, key: str = "facility_i
 
 def multiplicity_difference(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
     """Rows (by ``columns``) that don't occur equally often in both, with ``before``, ``after``: one aggregate, NULLs equal."""
+    return _multiplicities(before, after, columns).filter("before <> after")
+
+
+def _multiplicities(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
     one, none = F.lit(1), F.lit(0)
     signed = before.select(*columns, one.alias("_before"), none.alias("_after")).unionByName(after.select(*columns, none.alias("_before"), one.alias("_after")))
-    return (signed.groupBy(*columns).agg(F.sum("_before").alias("before"), F.sum("_after").alias("after"))
-            .filter("before <> after"))
+    return signed.groupBy(*columns).agg(F.sum("_before").alias("before"), F.sum("_after").alias("after"))
+
+
+def multiplicity_by(before: DataFrame, after: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """Per value of ``key``, one of the columns: rows of both sides and how many different rows don't occur equally often; one pass over each side."""
+    return _multiplicities(before, after, columns).groupBy(key).agg(
+        F.sum("before").alias("rows_in"), F.sum("after").alias("rows_out"), F.count_if(F.col("before") != F.col("after")).alias("differing"))

@@ -299,7 +299,4 @@ def row_multiplicity(spark, sf):
     own = view(spark, sf, "fx_detection")
     before = own.unionByName(own.filter("event_id % 10 = 0")).drop("site", "conf_code", "bright_ti5")
     after = enrich(before, fac(spark, sf))
-    columns = before.columns
-    wrong = analytics.multiplicity_difference(before, after, columns).groupBy("satellite").agg(F.count(F.lit(1)).alias("differing"))
-    counts = before.groupBy("satellite").agg(F.count(F.lit(1)).alias("rows_in")).join(after.groupBy("satellite").agg(F.count(F.lit(1)).alias("rows_out")), "satellite", "full")
-    return counts.join(wrong, "satellite", "left").select("satellite", "rows_in", "rows_out", F.coalesce("differing", F.lit(0)).alias("differing"))
+    return analytics.multiplicity_by(before, after, before.columns, "satellite")

@@ -74,3 +74,28 @@ def test_facility_baseline_keeps_sites_apart_that_share_a_position(spark, tmp_pa
     key = "facility_point_baseline"
     verdict = compare(QUERIES[key](spark, str(tmp_path)), con, CHECKS[key])
     assert verdict.startswith("ok"), verdict
+
+
+def test_nearest_of_all_groups_is_gathered_without_another_shuffle(spark):
+    """Merged by cell, the nearest of a point's groups lie in one partition: one shuffle of positions, one of the result, one of the events."""
+    events = spark.range(50).selectExpr("id as event_id", "10 + id / 1000D as latitude", "70D as longitude")
+    items = spark.range(60).selectExpr("id as ord", "10 + id / 900D as lat", "70.01D as lon", "case id % 3 when 0 then 'steel' when 1 then 'cement' else 'refinery' end as facility_type")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = proximity.nearest_by_category(events, items, proximity.CATEGORIES)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum("Exchange hashpartitioning(latitude" in line or "Exchange hashpartitioning(knownfloatingpointnormalized" in line for line in plan.splitlines()) <= 3
+
+
+def test_row_multiplicity_enriches_once(spark):
+    from emberline.operators.analytics import multiplicity_by
+    rows = [(1, "a"), (1, "a"), (2, "b"), (3, None)]
+    before, after = (spark.createDataFrame(r, "id int, satellite string") for r in (rows, [*rows[1:], (2, "b"), (4, "c")]))
+    got = sorted((r.satellite or "", r.rows_in, r.rows_out, r.differing) for r in multiplicity_by(before, after, before.columns, "satellite").collect())
+    assert got == [("", 1, 1, 0), ("a", 2, 1, 1), ("b", 1, 2, 1), ("c", 0, 1, 1)]
+    plan = QUERIES["row_multiplicity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # The temporal counts, the nearest facility, the facility counts and the nearest of each category are joined once each.
+    assert sum("Join LeftOuter" in line for line in plan.splitlines()) == 4
