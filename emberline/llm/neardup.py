@@ -92,7 +92,11 @@ def segment_counts(fp: Column) -> Column:
 
 
 def links(prints: DataFrame, bits: int = LINK_BITS) -> DataFrame:
-    """Pairs (a < b) of distinct fingerprints that differ in at most ``bits`` (two at most) bits, each once."""
+    """Pairs (a < b) of distinct fingerprints that differ in at most ``bits`` (two at most) bits, each once.
+
+    The grid has up to 33 rows for each fingerprint, which Catalyst doesn't see in the size of
+    their files: its sides are merged, never broadcast.
+    """
     if bits > 2:
         raise ValueError("the grid covers differences of up to two bits")
     # step 0: the own point; +-i: one more or one less in segment i
@@ -105,7 +109,7 @@ def links(prints: DataFrame, bits: int = LINK_BITS) -> DataFrame:
     a, b = grid.alias("a"), grid.alias("b")
     once = F.expr("abs(a._step) <= abs(b._step) and (a._step = 0 or a._step <> b._step)")
     near = F.expr(f"a._fp < b._fp and bit_count(a._fp ^ b._fp) <= {bits}")
-    return a.join(b, (F.col("a._point") == F.col("b._point")) & near & once).select(F.col("a._fp").alias("a"), F.col("b._fp").alias("b"))
+    return a.join(b.hint("merge"), (F.col("a._point") == F.col("b._point")) & near & once).select(F.col("a._fp").alias("a"), F.col("b._fp").alias("b"))
 
 
 def print_roots(printed: DataFrame, id_col: str = "doc_id") -> DataFrame:
