@@ -233,9 +233,13 @@ def _distance() -> Column:
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact Jaccard distance of each pair (a, b)."""
+    """Exact Jaccard distance of each pair (a, b).
+
+    Catalyst counts one element for an array, so it takes the shingles for a small part of their
+    file: they are merged, never broadcast.
+    """
     a, b = sets.select(F.col("pid").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("pid").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", _distance().alias("dist"))
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", _distance().alias("dist"))
 
 
 def similar_links(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, text: str = "text",
@@ -262,7 +266,7 @@ def similar_links(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARI
     # Only pairs of different groups can join anything that the pivots didn't.
     joined = land(link_groups(near.filter(F.col("dist") <= limit)), "paragraph-joined")
     grouped = company.join(joined, F.col("pid") == F.col("node"), "left").select("pid", "lost", F.coalesce("component", "pid").alias("joined"))
-    others = _measured(_prefix_pairs(sets.join(grouped, "pid"), similarity), sets).filter(F.col("dist") <= limit)
+    others = _measured(_prefix_pairs(sets.hint("merge").join(grouped, "pid"), similarity), sets).filter(F.col("dist") <= limit)
     return joined.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(others.select("a", "b"))
 
 
